@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, url_filter
+from . import mixing, packing, pii, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
+    "op4_packing": packing.op4_packing,
+    "op6_warc": warc.op6_warc,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.SQL,
+    "op6_warc": warc.SQL,
     "op9_url_filter": url_filter.SQL,
 }
