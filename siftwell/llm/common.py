@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,27 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             break
         links = small
     return small.select(F.col("a").alias("node"), b.alias("component")).unionByName(small.select(b.alias("node"), b.alias("component")).distinct())
+
+
+def grouped_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``fn`` makes of each group of ``df``. Keys are never null and groups are bounded.
+
+    Like ``groupBy(keys).applyInPandas``, but many small groups share one batch.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            starts = np.flatnonzero(batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy())
+            out = [row for a, b in zip(starts, starts[1:]) for row in fn(batch.iloc[a:b])]  # noqa: B905
+            rest = batch.iloc[starts[-1] :]
+            yield pd.DataFrame(out, columns=names)
+        if rest is not None:
+            yield pd.DataFrame(fn(rest), columns=names)
+
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
