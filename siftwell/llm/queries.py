@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, toxicity, url_filter, warc
+from . import line_dedup, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_warc": warc.op6_warc,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
 }
