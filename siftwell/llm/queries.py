@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, line_dedup, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
+from . import ann, bm25, line_dedup, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25": bm25.op1_bm25,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
