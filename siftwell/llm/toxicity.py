@@ -23,8 +23,12 @@ from .common import table
 
 #: Buckets that terms are hashed to; buckets that become inputs; the least frequency of those; size of their vectors.
 BUCKETS, INPUTS, LEAST, FACTORS = 1 << 18, 512, 5, 8
+#: Lengths of the beginnings of words that are terms too.
+PREFIXES = (4, 5)
 #: Rows that the machine is fitted on, at most: a sample by hash of doc_id. Passes over them, rows in a step, step, weight decay.
-MOST_ROWS, PASSES, BATCH, STEP, DECAY = 20_000, 30, 256, 0.02, 1e-4
+MOST_ROWS, PASSES, BATCH, STEP, DECAY = 20_000, 60, 256, 0.02, 1e-5
+#: Labels are broadcast up to so many rows (an id and a number each, so below 64 MB), and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 #: A text with this score or more counts as toxic.
 THRESHOLD = 0.3
 #: Rows with this remainder of crc32(doc_id as text) by FOLDS are held out.
@@ -33,11 +37,17 @@ FOLDS, HELD_OUT = 4, 2
 TERM = re.compile(r"[^\W_]+")
 
 
+def terms(text: str) -> set[str]:
+    """A text's distinct lower-case words, and the beginnings of the longer ones, which an insult's forms share."""
+    words = set(TERM.findall(text.lower()))
+    return words.union(*({f"{n}^{w[:n]}" for w in words if len(w) > n} for n in PREFIXES))
+
+
 def buckets(text: str | None) -> np.ndarray:
-    """The buckets of a text's distinct lower-case terms; none for null."""
+    """The buckets of a text's distinct terms; none for null."""
     if not text:
         return np.empty(0, np.int64)
-    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in set(TERM.findall(text.lower()))), np.int64))
+    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in terms(text)), np.int64))
 
 
 @dataclass
@@ -114,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     labels and ids do not count. Without both labels every score is the share of toxic rows.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = docs.select("doc_id", "text").join(known, "doc_id").where(~held_out(F.col("doc_id")))
+    if labels.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    known = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known, "doc_id")
     counts = known.select("text", "toxic").mapInPandas(_counts, "bucket long, clean long, toxic long")
     counts = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n = known.groupBy("toxic").count().collect()
