@@ -16,8 +16,10 @@ def signatures(rows: DataFrame, key: str, text: str, patterns: Sequence[tuple[st
     """
     found = None
     for name, pattern in patterns:
-        pieces = rows.where(F.contains(text, F.lit(pattern))).select(key, F.posexplode(F.split(text, "(?=" + _quoted(pattern) + ")", -1)).alias("_i", "_piece"))
-        pieces = pieces.select(key, "_i", F.octet_length("_piece").alias("_n"), F.startswith("_piece", F.lit(pattern)).alias("_hit"))
+        # every cut is an occurrence, and so is the beginning, where nothing is cut off, if the text begins with the pattern
+        at_once = F.startswith(text, F.lit(pattern)).alias("_at_once")
+        pieces = rows.where(F.contains(text, F.lit(pattern))).select(key, at_once, F.posexplode(F.split(text, "(?=" + _quoted(pattern) + ")", -1)).alias("_i", "_piece"))
+        pieces = pieces.select(key, "_i", F.octet_length("_piece").alias("_n"), ((F.col("_i") > 0) | F.col("_at_once")).alias("_hit"))
         before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
         hits = pieces.withColumn("start", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")).where("_hit")
         hits = hits.select(key, F.lit(name).alias("signature"), "start", (F.col("start") + len(pattern.encode())).alias("end"))

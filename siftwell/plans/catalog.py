@@ -602,3 +602,34 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units that a resumed run still has to do: all but the finished."""
     done = read(spark, sf_dir, "lineitem").where("l_linenumber >= 4").select(F.col("l_orderkey").alias("o_orderkey"))
     return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(done, "o_orderkey", "left_anti")
+
+
+# --- scans of bytes --------------------------------------------------------------------------------
+
+
+@query(f"WITH {SIGNATURE_SQL} SELECT doc_id, signature, start, end_ AS \"end\" FROM s")
+def signature_scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All byte patterns in one pass over the documents' bytes."""
+    from ..functions import scan
+
+    units = scan.text_units(read(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    hits = scan.deduplicated(scan.scan(units, [(n, t.encode()) for n, t in SIGNATURES]))
+    return hits.select(F.col("source_id").alias("doc_id"), "signature", "start", "end")
+
+
+@query()
+def address_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each text table its texts, and the address and public key shapes in them by what they proved to be."""
+    from ..functions import addresses
+
+    out = None
+    for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text")):
+        rows = read(spark, sf_dir, name).select(key, column)
+        found = addresses.find(rows, key, F.col(column)).select("state", "fingerprint")
+        both = found.unionByName(rows.select(F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("fingerprint")))
+        part = both.groupBy(F.lit(name).alias("source")).agg(
+            F.count_if(F.col("state").isNull()).alias("texts"), F.count("state").alias("shapes"),
+            F.count_if(F.col("state") != "invalid").alias("valid"), F.countDistinct(F.when(F.col("state") != "invalid", F.col("fingerprint"))).alias("distinct_valid"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
