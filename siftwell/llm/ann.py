@@ -26,7 +26,7 @@ PART, WORDS, ROUNDS, SAMPLE = 2, 16, 10, 20_000
 #: An inner product this share of the largest possible is what the loss cares for.
 THRESHOLD = 0.2
 #: Vectors in a block of codes, queries in a block, candidates of a query that are compared exactly.
-BLOCK, QUERIES, RERANKED = 8192, 256, 100
+BLOCK, QUERIES, RERANKED = 32_768, 128, 100
 
 
 def learn(x: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -111,6 +111,10 @@ def _wide(vectors: Iterable, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, -width % PART)))
 
 
+def _block(held: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([tuple(np.concatenate(x).tobytes() for x in zip(*held, strict=True))], columns=["ids", "keys", "squares", "codes"])
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """Distinct ``(vec_id, key, embedding)`` of the vectors that take part.
 
@@ -144,15 +148,22 @@ def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY,
     books = spark.sparkContext.broadcast(learn(_wide(chosen["embedding"] if len(chosen) else [first[0].embedding], width)))
 
     def coded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for batch in batches:
-            for a in range(0, len(batch), BLOCK):
-                part = batch.iloc[a : a + BLOCK]
+            for a in range(0, len(batch), 1024):
+                part = batch.iloc[a : a + 1024]
                 x = _wide(part["embedding"], width)
-                codes = np.concatenate([packed(encode(x[i : i + 1024], books.value)) for i in range(0, len(x), 1024)])
-                yield pd.DataFrame([(part["vec_id"].to_numpy(np.int64).tobytes(), part["key"].to_numpy(np.int64).tobytes(), (x**2).sum(1).tobytes(), codes.tobytes())], columns=["ids", "keys", "squares", "codes"])
+                held.append((part["vec_id"].to_numpy(np.int64), part["key"].to_numpy(np.int64), (x**2).sum(1), packed(encode(x, books.value))))
+                if sum(len(h[0]) for h in held) >= BLOCK:
+                    yield _block(held)
+                    held = []
+        if held:
+            yield _block(held)
 
     copies = Window.partitionBy("key").orderBy("vec_id")
     candidates = v.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= neighbours + 1).drop("copy")
+    # as many tasks as there are full blocks, so that what a query gets from each block is little
+    candidates = candidates.coalesce(-(-n // BLOCK))
     blocks = materialize(candidates.mapInPandas(coded, "ids binary, keys binary, squares binary, codes binary"), "codes")
 
     def gathered(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
