@@ -208,3 +208,14 @@ def search(vectors: DataFrame, neighbours: int = NEIGHBOURS, every: int = EVERY,
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: The exact answer, which the search finds whole where RERANKED candidates suffice.
+SQL = f"""
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(v.x) + 1), lambda i: (q.x[i] - v.x[i]) * (q.x[i] - v.x[i])), lambda a, b: a + b)) AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % {EVERY} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= {NEIGHBOURS}
+"""
