@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 def signatures(rows: DataFrame, key: str, text: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     """All occurrences, overlapping ones too, of ``patterns`` (name, text): key, signature, start and end in bytes.
 
-    A text is cut before each occurrence; the lengths of the pieces add up to the offsets. ``key`` is unique.
+    A text is cut before each occurrence; the lengths of the pieces add up to the offsets. Every cut is an
+    occurrence, and so is the beginning, where nothing is cut off, if the text begins with the pattern.
+    All patterns share one scan of ``rows``; only lengths leave it. ``key`` is unique.
     """
-    found = None
-    for name, pattern in patterns:
-        # every cut is an occurrence, and so is the beginning, where nothing is cut off, if the text begins with the pattern
-        at_once = F.startswith(text, F.lit(pattern)).alias("_at_once")
-        pieces = rows.where(F.contains(text, F.lit(pattern))).select(key, at_once, F.posexplode(F.split(text, "(?=" + _quoted(pattern) + ")", -1)).alias("_i", "_piece"))
-        pieces = pieces.select(key, "_i", F.octet_length("_piece").alias("_n"), ((F.col("_i") > 0) | F.col("_at_once")).alias("_hit"))
-        before = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-        hits = pieces.withColumn("start", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")).where("_hit")
-        hits = hits.select(key, F.lit(name).alias("signature"), "start", (F.col("start") + len(pattern.encode())).alias("end"))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    t = F.col(text)
+
+    def cut(name: str, pattern: str) -> Column:
+        lengths = F.transform(F.split(t, "(?=" + _quoted(pattern) + ")", -1), lambda piece: F.octet_length(piece).cast("long"))
+        found = F.struct(F.lit(name).alias("signature"), F.lit(len(pattern.encode())).alias("size"), F.startswith(t, F.lit(pattern)).alias("at_once"), lengths.alias("lengths"))
+        return F.when(F.contains(t, F.lit(pattern)), found)
+
+    cuts = rows.select(key, F.explode(F.array_compact(F.array(*(cut(*p) for p in patterns)))).alias("c"))
+    pieces = cuts.select(key, "c.signature", "c.size", "c.at_once", F.posexplode("c.lengths").alias("i", "n"))
+    before = Window.partitionBy(key, "signature").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    return pieces.where("i > 0 OR at_once").select(key, "signature", "start", (F.col("start") + F.col("size")).alias("end"))
 
 
 def _quoted(text: str) -> str:
