@@ -633,3 +633,61 @@ def address_context(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# --- places and distances --------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {SIGNATURE_SQL},
+f AS (SELECT *, CASE WHEN start - lag(start) OVER w > 2048 THEN 1 ELSE 0 END AS cut FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start, end_)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS island, row_number() OVER (PARTITION BY doc_id ORDER BY start, end_, signature) AS k FROM f)
+SELECT a.doc_id, a.island::BIGINT AS island, count(*) AS pairs, min(b.start - a.start) AS nearest, max(b.start - a.start) AS farthest, sum(b.start - a.start)::DOUBLE / count(*) AS mean
+FROM i a JOIN i b ON a.doc_id = b.doc_id AND a.island = b.island AND a.k < b.k GROUP BY ALL""")
+def documents_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between all hits of a cluster, from their order: no pair is formed.
+
+    In order, the i-th of n starts is the later one of i - 1 pairs and the earlier one of n - i.
+    """
+    found = intervals.islands(documents_signatures(spark, sf_dir), ["doc_id"], 2048, "start", 1 << 20)
+    cluster = Window.partitionBy("doc_id", "island")
+    ordered = cluster.orderBy("start", "end", "signature")
+    found = found.withColumns({"i": F.row_number().over(ordered), "n": F.count("*").over(cluster), "step": F.col("start") - F.lag("start").over(ordered)})
+    pairs = (F.max("n") * (F.max("n") - 1) / 2).cast("long")
+    g = found.groupBy("doc_id", "island").agg(
+        pairs.alias("pairs"), F.min("step").alias("nearest"), (F.max("start") - F.min("start")).alias("farthest"), F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("start")).alias("total")
+    )
+    return g.where("pairs > 0").select("doc_id", "island", "pairs", "nearest", "farthest", (F.col("total").cast("double") / F.col("pairs")).alias("mean"))
+
+
+@query("""
+WITH m AS (SELECT o_custkey, bit_or(1::BIGINT << (o_orderkey % 48)::INTEGER) AS bits FROM orders GROUP BY o_custkey),
+r AS (SELECT c_custkey, coalesce(bits, 0) AS bits, (c_custkey % 40)::INTEGER AS first, (c_custkey % 8 + 1)::INTEGER AS n FROM customer LEFT JOIN m ON o_custkey = c_custkey),
+s AS (SELECT *, bit_count((bits >> first) & ((1::BIGINT << n) - 1))::BIGINT AS used FROM r)
+SELECT c_custkey, n::BIGINT AS clusters, used, CASE WHEN used = 0 THEN 'UNALLOCATED' WHEN used = n THEN 'ALLOCATED' ELSE 'MIXED' END AS state FROM s""")
+def customer_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a range of clusters is allocated, by the bits of a bitmap."""
+    m = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bit_or(F.expr("shiftleft(1L, cast(o_orderkey % 48 AS INT))")).alias("bits"))
+    r = read(spark, sf_dir, "customer").select("c_custkey").join(m, "c_custkey", "left").withColumns({"bits": F.coalesce("bits", F.lit(0)), "clusters": F.col("c_custkey") % 8 + 1})
+    used = F.expr("cast(bit_count(shiftrightunsigned(bits, cast(c_custkey % 40 AS INT)) & (shiftleft(1L, cast(clusters AS INT)) - 1)) AS BIGINT)")
+    state = F.when(F.col("used") == 0, "UNALLOCATED").when(F.col("used") == F.col("clusters"), "ALLOCATED").otherwise("MIXED")
+    return r.withColumn("used", used).select("c_custkey", "clusters", "used", state.alias("state"))
+
+
+@query("""
+WITH k AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_linenumber FROM lineitem),
+c AS (SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.l_orderkey AS other,
+    CASE WHEN a.l_suppkey = b.l_suppkey AND a.l_quantity = b.l_quantity THEN 0 WHEN a.l_suppkey = b.l_suppkey THEN 1 WHEN a.l_quantity = b.l_quantity THEN 2 ELSE 3 END AS rank
+    FROM k a JOIN k b ON a.l_partkey = b.l_partkey AND b.l_linenumber = 1 AND a.l_linenumber = 2 AND a.l_orderkey <> b.l_orderkey),
+d AS (SELECT l_orderkey, l_linenumber, l_partkey, min(rank) AS rank FROM c GROUP BY ALL)
+SELECT l_orderkey, l_partkey, ['BYTE_IDENTICAL', 'STRUCTURALLY_SIMILAR', 'SIZE_MATCH_ONLY', 'NO_MATCH'][rank + 1] AS class FROM d""")
+def fingerprint_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest class of match of each second line with first lines of the same part."""
+    k = read(spark, sf_dir, "lineitem")
+    a = k.where("l_linenumber = 2").select("l_partkey", "l_orderkey", "l_suppkey", "l_quantity")
+    b = k.where("l_linenumber = 1").select("l_partkey", F.col("l_orderkey").alias("other"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"))
+    same, size = F.col("l_suppkey") == F.col("s"), F.col("l_quantity") == F.col("q")
+    rank = F.when(same & size, 0).when(same, 1).when(size, 2).otherwise(3)
+    d = a.join(b, "l_partkey").where("l_orderkey <> other").groupBy("l_orderkey", "l_partkey").agg(F.min(rank).alias("rank"))
+    names = F.array(*map(F.lit, ("BYTE_IDENTICAL", "STRUCTURALLY_SIMILAR", "SIZE_MATCH_ONLY", "NO_MATCH")))
+    return d.select("l_orderkey", "l_partkey", F.element_at(names, F.col("rank") + 1).alias("class"))
