@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 
 #: ``spark.checkpoint.dir`` names the folder that the driver and all executors share.
 SHARED = "spark.checkpoint.dir"
+#: Rows of an Arrow batch between Spark and Python where rows hold whole texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows: with whole texts in the rows, larger ones fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. Only a local session without one gets a folder of its own."""
     base = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()

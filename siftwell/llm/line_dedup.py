@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import components, grouped_map, materialize, shuffle_partitions, table
+from .common import components, grouped_map, materialize, shuffle_partitions, table, text_batches
 
 #: Edits between near lines; lines of fewer characters than these are never removed, or only as exact repeats.
 EDITS, LEAST, LEAST_NEAR = 2, 20, 40
 #: Lines that meet in a block; lines that a task remembers, so that a line repeated in it is looked up once.
-BLOCK, SEEN = 64, 1_000_000
+BLOCK, SEEN = 64, 200_000
+#: Keys of lines whose text is wanted are broadcast up to so many (8 bytes each, so below 64 MB), and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 #: Classes of characters that the letter filter counts.
 LETTERS = 64
 
@@ -170,12 +172,16 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     keys = lines.select("line_key", "line").mapInPandas(_keys(edits), "key long, line_key long, entry boolean").repartition(parts, "key")
     several = keys.groupBy("key").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high"), F.max("entry").alias("entry"))
     several = several.where("entry AND low < high").select("key")
-    met = materialize(keys.join(several, "key", "left_semi").select("key", "line_key").distinct(), "met")
+    # with the same columns on both sides, one exchange serves both
+    met = materialize(keys.join(several, "key", "left_semi").groupBy("key", "line_key").agg(F.max("entry").alias("entry")), "met").drop("entry")
     blocks = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     met = met.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("line_key", F.lit(1)), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("key", "line_key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    texts = lines.select("line_key", "line").join(met.select("line_key").distinct(), "line_key", "left_semi").dropDuplicates(["line_key"])
+    wanted = materialize(met.select("line_key").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = lines.select("line_key", "line").join(wanted, "line_key", "left_semi").dropDuplicates(["line_key"])
     return materialize(grouped_map(met.join(texts, "line_key"), ["key", "low", "high"], _compared(edits), "a long, b long").distinct(), "near")
 
 
@@ -215,6 +221,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, least_near: i
     and are treated alike; of different texts under one doc_id, that with the smaller hash comes first.
     Columns n_lines and n_removed of ``docs`` are replaced, others pass through.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     gone = repeats(docs.select("doc_id", "text"), edits, least, least_near).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
     d, g = docs.withColumn("text_key", F.xxhash64("text")).alias("d"), gone.alias("g")

@@ -6,13 +6,13 @@ partner, no member can be one, and the group stays closed. Only groups that pass
 members compared.
 
 1. Documents with the same set of tokens are one node; copies need no comparing.
-2. Min-hash keys gather likely partners; each is compared with the first of its key, which costs one
-   comparison a document however large the gathering, and what is linked becomes a group.
+2. Min-hash keys gather likely partners; each is compared with the last of its key, which costs one
+   comparison a document however large the gathering. What is linked needs no more comparing.
 3. Every pair that may still be missed shares one of its prefix tokens: with tokens in one order for all,
-   rare before frequent, two sets with enough common tokens meet in their first n - ceil(t n) + 1. So a
-   node is a query to every group that holds one of its prefix tokens and that it isn't linked with.
-   The group's matrix row (its union) is checked, and the group opened if it qualifies. One link joins a
-   node to a group, whose members are linked already.
+   rare before frequent, two sets with enough common tokens share s of their first n - ceil(t n) + s. Nodes
+   that share such tokens with nodes they aren't linked with are partitioned into groups of similar ones,
+   and each is a query to every group that holds s of its prefix tokens. The group's matrix row (its
+   union) is checked, and the group opened if it qualifies.
 4. Components of the links.
 
 Nothing is left out: the order of tokens decides the cost, not the result. The most frequent tokens that
@@ -30,18 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, grouped_map, materialize, shuffle_partitions, table
+from .common import components, grouped_map, materialize, shuffle_partitions, table, text_batches
 
 #: Words of a token and least similarity in hundredths, as the query asks.
 WORDS, PERCENT = 4, 85
 #: Tokens put last in the order: at most so many, each in so many documents or more. Counted are the tokens in the first
 #: share of the range of hashes, from which prefixes are taken.
 FREQUENT, FREQUENT_FROM, COUNTED = 200_000, 32, 0.25
+#: Prefix tokens that similar sets must share; a prefix is longer by these less one.
+SHARED = 16
 #: Min-hash keys and hashes in each.
 KEYS, HASHES = 3, 2
-#: Members of a group that is opened at once, and queries to it in a task.
+#: Members of a group, about, and queries to it in a task.
 GROUP, QUERIES = 64, 256
 
+#: Keys of texts that are to be compared are broadcast up to so many (8 bytes each, so below 64 MB), and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,8 +72,9 @@ def tokens(text: str | None, words: int) -> np.ndarray:
 
 
 def prefix(x: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 tokens, by hash with ``frequent`` ones last."""
-    n = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
+    """The first n - ceil(t n) + s tokens, by hash with ``frequent`` ones last; s is SHARED, or ceil(t n) if that is less."""
+    least = -(-percent * len(x) // 100)
+    n = len(x) - least + min(SHARED, least)
     if len(frequent) and n:
         late = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
         if late.any():
@@ -119,9 +125,10 @@ def signatures(docs: DataFrame, words: int, percent: int, frequent: np.ndarray)
 
 def _compared(words: int, percent: int):
     def links(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        """Links (a, b) of queries with members of the group; a group's members count as linked already."""
+        """Links (a, b) of queries with members of the group whose components are larger; one for each component."""
         sets: dict[int, np.ndarray] = {}
-        for node, set_key, text in zip(rows["node"], rows["set_key"], rows["text"], strict=True):
+        component = dict(zip(rows["node"].tolist(), rows["component"].tolist(), strict=True))
+        for node, set_key, text in zip(rows["node"].tolist(), rows["set_key"], rows["text"], strict=True):
             if node not in sets:
                 x = tokens(text, words)
                 if hashlib.blake2b(x.tobytes(), digest_size=16).digest() == bytes(set_key):
@@ -131,18 +138,18 @@ def _compared(words: int, percent: int):
         union = np.unique(np.concatenate([sets[n] for n in members])) if members else np.empty(0, np.uint64)
         out = []
         for q in (n for n in dict.fromkeys(node[~member].tolist()) if n in sets):
-            x = sets[q]
+            x, linked = sets[q], set()
             # the matrix bound: what a partner must share can't exceed what the union shares
             if 100 * len(np.intersect1d(x, union, assume_unique=True)) < percent * len(x):
                 continue
             for m in members:
                 y = sets[m]
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                if component[m] <= component[q] or component[m] in linked or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     out.append((q, m))
-                    break
+                    linked.add(component[m])
         return out
 
     return links
@@ -151,14 +158,18 @@ def _compared(words: int, percent: int):
 def compare(pairs: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """Links among ``pairs(node, group)``: queries to groups, whose members are ``groups(group, node)``.
 
+    ``nodes(node, component, set_key, text_key)``: a query is compared with members of larger components.
     A group with many queries is given to several tasks, each with all of its at most GROUP members.
     """
-    chunks = pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
-    queries = pairs.join(chunks, "group").select("group", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).alias("chunk"), "node", F.lit(False).alias("member"))
-    members = groups.join(chunks, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "node", F.lit(True).alias("member"))
-    rows = queries.unionByName(members).join(nodes.select("node", "set_key", "text_key"), "node")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(rows.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    rows = rows.join(texts, "text_key").select("group", "chunk", "node", "member", "set_key", "text")
+    chunks = pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("chunks"))
+    queries = pairs.join(chunks, "group").select("group", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node", F.lit(False).alias("member"))
+    members = groups.join(chunks, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(True).alias("member"))
+    rows = queries.unionByName(members).join(nodes.select("node", "component", "set_key", "text_key"), "node")
+    wanted = materialize(rows.select("text_key").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    rows = rows.join(texts, "text_key").select("group", "chunk", "node", "member", "component", "set_key", "text")
     return materialize(grouped_map(rows, ["group", "chunk"], _compared(words, percent), "a long, b long"), name)
 
 
@@ -177,33 +188,40 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     one. Repeated rows have equal sets and so a common component. An empty table gives an empty one.
     Columns ``n_shingles`` and ``component_id`` of ``docs`` are replaced, others pass through.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("n_shingles", "component_id", "rid")
     # text_key names a row's text, so ids need be neither unique nor present
     base = docs.select(F.col("doc_id").alias("rid"), "text")
     sig = materialize(signatures(base, words, percent, frequent_tokens(base, words)), "signatures")
     nodes = sig.where("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    # likely partners: everyone with a key is a query to the first of the key
+    # likely partners: everyone with a key is a query to the last of the key
     keyed = nodes.select("node", F.posexplode("keys").alias("i", "key"))
-    firsts = keyed.groupBy("i", "key").agg(F.min("node").alias("group"), F.count("*").alias("n")).where("n > 1").drop("n")
-    likely = keyed.join(firsts, ["i", "key"]).where("node > group").select("node", "group").distinct()
+    lasts = keyed.groupBy("i", "key").agg(F.max("node").alias("group"), F.count("*").alias("n")).where("n > 1").drop("n")
+    likely = keyed.join(lasts, ["i", "key"]).where("node < group").select("node", "group").distinct()
     likely = materialize(likely, "likely")
-    links = compare(likely, likely.select("group", F.col("group").alias("node")).distinct(), nodes, base, words, percent, "likely-links")
-    grouped = materialize(with_groups(nodes.select("node", "n"), links), "groups")
-    # groups are opened by GROUP members at once
-    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    grouped = grouped.join(sizes, "component").withColumn("group", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    grouped = materialize(grouped.drop("parts"), "members")
-    held = nodes.select("node", F.explode("prefix").alias("token")).join(grouped.select("node", "component"), "node")
+    alone = nodes.select("node", F.col("node").alias("component"), "set_key", "text_key")
+    links = compare(likely, likely.select("group", F.col("group").alias("node")).distinct(), alone, base, words, percent, "likely-links")
+    linked = materialize(with_groups(nodes.select("node", "n", "set_key", "text_key"), links), "linked")
+    # prefix tokens that nodes of more than one component hold
+    held = nodes.select("node", F.explode("prefix").alias("token")).join(linked.select("node", "component"), "node")
     held = held.repartition(shuffle_partitions(docs.sparkSession), "token")
     several = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    held = materialize(held.join(several, "token", "left_semi").join(grouped.select("node", "n", "group"), "node"), "held")
-    rows = held.select("token", "group", "component", "n").groupBy("token", "group", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # with the same columns on both sides, one exchange serves both
+    held = materialize(held.join(several, "token", "left_semi").select("token", "node", "component"), "held").drop("component")
+    # groups of similar nodes: by the least such token, at most about GROUP in each
+    likes = held.groupBy("node").agg(F.min("token").alias("like"))
+    parts = likes.groupBy("like").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
+    grouped = likes.join(parts, "like").select("node", F.xxhash64("like", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("group"))
+    grouped = materialize(grouped.join(linked.select("node", "n", "component"), "node"), "members")
+    held = held.join(grouped, "node")
+    held = held.withColumn("shared", F.least(F.lit(SHARED).cast("long"), F.floor((percent * F.col("n") + 99) / 100)))
+    rows = held.groupBy("token", "group").agg(F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("shared").alias("shared"))
     q, g = held.alias("q"), rows.alias("g")
-    near = (F.col("q.component") < F.col("g.component")) & (100 * F.col("q.n") >= percent * F.col("g.least")) & (100 * F.col("g.most") >= percent * F.col("q.n"))
-    pairs = q.join(g, (F.col("q.token") == F.col("g.token")) & near).select("q.node", "g.group").distinct()
-    pairs = materialize(pairs, "pairs")
-    more = compare(pairs, grouped.select("group", "node"), nodes, base, words, percent, "links")
+    near = (F.col("q.component") < F.col("g.high")) & (100 * F.col("q.n") >= percent * F.col("g.least")) & (100 * F.col("g.most") >= percent * F.col("q.n"))
+    met = q.join(g, (F.col("q.token") == F.col("g.token")) & near).groupBy("q.node", "g.group").agg(F.count("*").alias("met"), F.min("q.shared").alias("own"), F.min("g.shared").alias("other"))
+    pairs = materialize(met.where(F.col("met") >= F.least("own", "other")).select("node", "group"), "pairs")
+    more = compare(pairs, grouped.select("group", "node"), linked, base, words, percent, "links")
     final = with_groups(nodes.select("node", "set_key"), links.unionByName(more)).select("set_key", "component")
     placed = materialize(sig.select("rid", "n", "set_key", "text_key").join(final, "set_key", "left"), "placed")
     ids = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("rid").alias("component_id"))
@@ -220,3 +238,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' '))) ELSE [] END AS x FROM w),
+t AS (SELECT doc_id, unnest(x) AS token FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= {PERCENT} * (len(x.x) + len(y.x) - n)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM s UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.o = u.a)
+SELECT s.doc_id, len(x)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id) m ON s.doc_id = m.doc_id
+"""

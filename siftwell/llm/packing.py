@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, text_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Groups of equal cardinality of the large pieces, which are longer than CAPACITY // SMALL.
@@ -254,6 +254,7 @@ def place(cut_up: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, sma
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The placed pieces of ``docs(doc_id, text)``, with their ids. An empty table gives none."""
+    text_batches(docs.sparkSession)
     return place(materialize(pieces(docs, path), "pieces"))
 
 

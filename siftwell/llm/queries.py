@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_bm25": bm25.SQL,
     "op3_mixing": mixing.SQL,
+    "op5_ngram_join": ngram_join.SQL,
     "op6_warc": warc.SQL,
+    "op7_ann": ann.SQL,
     "op9_url_filter": url_filter.SQL,
 }

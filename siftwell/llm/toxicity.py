@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 #: Buckets that terms are hashed to; buckets that become inputs; the least frequency of those; size of their vectors.
 BUCKETS, INPUTS, LEAST, FACTORS = 1 << 18, 512, 5, 8
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     ``labels(doc_id, toxic)`` may repeat a row; a document is toxic if any of its rows says so, and null
     labels and ids do not count. Without both labels every score is the share of toxic rows.
     """
+    text_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     if labels.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
@@ -145,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with score in [0, 1] and predicted; a null text is an empty one. Every row of ``docs`` stays, also repeated ones."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
