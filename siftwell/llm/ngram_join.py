@@ -36,13 +36,13 @@ from .common import components, grouped_map, materialize, shuffle_partitions, ta
 WORDS, PERCENT = 4, 85
 #: Tokens put last in the order: at most so many, each in so many documents or more. Counted are the tokens in the first
 #: share of the range of hashes, from which prefixes are taken.
-FREQUENT, FREQUENT_FROM, COUNTED = 200_000, 32, 0.25
+FREQUENT, FREQUENT_FROM, COUNTED = 500_000, 16, 0.25
 #: Prefix tokens that similar sets must share; a prefix is longer by these less one.
 SHARED = 16
 #: Min-hash keys and hashes in each.
 KEYS, HASHES = 3, 2
 #: Members of a group, about, and queries to it in a task.
-GROUP, QUERIES = 64, 256
+GROUP, QUERIES = 256, 256
 
 #: Keys of texts that are to be compared are broadcast up to so many (8 bytes each, so below 64 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
