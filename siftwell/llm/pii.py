@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: kind -> (characters one of which a match has, pattern). In the order of kinds.
+#: kind -> (a character, or an expression, that is found wherever the pattern is; pattern). In the order of kinds.
 PATTERNS = {
     "email": ("@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     # A whole chain of digits with single separators is one match; only chains of 12 to 19 digits count.
-    "card": ("", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"),
+    "card": ("[0-9][ -]?[0-9][ -]?[0-9]", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "iban": ("", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
-    "local_phone": ("", r"(?<![0-9A-Za-z+(.-])\(?0[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9A-Za-z])"),
+    "iban": ("[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    "local_phone": ("0[0-9]{2}", r"(?<![0-9A-Za-z+(.-])\(?0[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9A-Za-z])"),
     "ssn": ("-", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -52,7 +52,7 @@ def _found(kind: str) -> Column:
     """Array of (gap, match, before, after) of ``text``: a gap's length, the match that ends it (null after the last gap), and the gap's last and first characters."""
     has, pattern = PATTERNS[kind]
     m, g = f"regexp_extract_all(text, {_sql(pattern)}, 0)", f"split(text, {_sql(pattern)}, -1)"
-    seek = f"contains(text, '{has}')" if has else "text rlike '[0-9]{3}'"
+    seek = f"contains(text, '{has}')" if len(has) == 1 else f"text rlike {_sql(has)}"
     return F.expr(f"""
         CASE WHEN {seek} THEN transform(
             arrays_zip({m}, {g}),

@@ -83,3 +83,10 @@ def test_extra_columns(spark):
     d = spark.createDataFrame([("t a@b.co", "x", 1)], "text string, spans string, near int")
     row = pii.spans(d).first()
     assert row.near == 1 and row.text == "t a@b.co" and row.spans[0].kind == "email" and row.spans[0].start == 2
+
+
+def test_cards_in_pairs_and_single_digits(spark):
+    number = "4111111111111111"
+    texts = [between.join(number[i : i + n] for i in range(0, 16, n)) for n in (1, 2) for between in " -"]
+    got = check(spark, list(enumerate(texts)))
+    assert all(got[i][0].n_card == 1 for i in range(4))
