@@ -345,7 +345,7 @@ t AS (SELECT DISTINCT p_partkey AS tree, p_partkey AS page, 0 AS level FROM part
 m AS (SELECT tree, page, min(level) AS level FROM t GROUP BY tree, page)
 SELECT m.tree, m.page, m.level::BIGINT AS level, (SELECT count(DISTINCT e.parent) FROM e JOIN m q ON q.page = e.parent AND q.tree = m.tree WHERE e.child = m.page)::BIGINT AS parents FROM m""")
 def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees of parts, their suppliers and nations: level and number of parents of each page."""
+    """Trees of the parts below 40, their suppliers and nations: level and number of parents of each page. ``part_tree_all`` has every part."""
     l = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("parent"), (F.col("l_suppkey") + 500).alias("child"))
     s = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 500).alias("parent"), (F.col("s_nationkey") + 10000).cast("long").alias("child"))
     edges = l.unionByName(s).distinct()
@@ -353,6 +353,20 @@ def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.tree(edges, roots).select("tree", "page", F.col("level").cast("long").alias("level"), "parents")
 
 
+@query("""
+SELECT DISTINCT 'p' || p_partkey AS tree, 'p' || p_partkey AS page, 0::BIGINT AS level, 0::BIGINT AS parents FROM part
+UNION ALL SELECT DISTINCT 'p' || p_partkey, 's' || l_suppkey, 1, 1 FROM part JOIN lineitem ON l_partkey = p_partkey
+UNION ALL SELECT 'p' || p_partkey, 'n' || s_nationkey, 2, count(DISTINCT s_suppkey) FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey
+GROUP BY p_partkey, s_nationkey""")
+def part_tree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of every part with its suppliers and their nations: level and number of parents of each page."""
+    page = lambda kind, k: F.concat(F.lit(kind), F.col(k).cast("string"))
+    l = read(spark, sf_dir, "lineitem").select(page("p", "l_partkey").alias("parent"), page("s", "l_suppkey").alias("child"))
+    s = read(spark, sf_dir, "supplier").select(page("s", "s_suppkey").alias("parent"), page("n", "s_nationkey").alias("child"))
+    roots = read(spark, sf_dir, "part").select(page("p", "p_partkey").alias("tree"), page("p", "p_partkey").alias("page")).distinct()
+    return graph.tree(l.unionByName(s).distinct(), roots).select("tree", "page", F.col("level").cast("long").alias("level"), "parents")
+
+
 # --- findings: dedup, policy, roll-ups -------------------------------------------------------------
 
 STATUS_SQL = """f AS (SELECT *, CASE l_returnflag WHEN 'R' THEN 'REJECTED' WHEN 'A' THEN 'STRUCTURAL' ELSE 'FRAGMENT' END AS structural,
@@ -682,7 +696,7 @@ c AS (SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.l_orderkey AS other,
 d AS (SELECT l_orderkey, l_linenumber, l_partkey, min(rank) AS rank FROM c GROUP BY ALL)
 SELECT l_orderkey, l_partkey, ['BYTE_IDENTICAL', 'STRUCTURALLY_SIMILAR', 'SIZE_MATCH_ONLY', 'NO_MATCH'][rank + 1] AS class FROM d""")
 def fingerprint_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closest class of match of each second line with first lines of the same part."""
+    """The closest class of match of each second line with first lines of the same part. ``fingerprint_compare_all`` compares all lines."""
     k = read(spark, sf_dir, "lineitem")
     a = k.where("l_linenumber = 2").select("l_partkey", "l_orderkey", "l_suppkey", "l_quantity")
     b = k.where("l_linenumber = 1").select("l_partkey", F.col("l_orderkey").alias("other"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"))
@@ -691,3 +705,24 @@ def fingerprint_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = a.join(b, "l_partkey").where("l_orderkey <> other").groupBy("l_orderkey", "l_partkey").agg(F.min(rank).alias("rank"))
     names = F.array(*map(F.lit, ("BYTE_IDENTICAL", "STRUCTURALLY_SIMILAR", "SIZE_MATCH_ONLY", "NO_MATCH")))
     return d.select("l_orderkey", "l_partkey", F.element_at(names, F.col("rank") + 1).alias("class"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey,
+    CASE WHEN EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey AND b.l_quantity = a.l_quantity AND b.l_orderkey <> a.l_orderkey) THEN 'BYTE_IDENTICAL'
+    WHEN EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey AND b.l_orderkey <> a.l_orderkey) THEN 'STRUCTURALLY_SIMILAR'
+    WHEN EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_quantity = a.l_quantity AND b.l_orderkey <> a.l_orderkey) THEN 'SIZE_MATCH_ONLY' ELSE 'NO_MATCH' END AS class
+FROM lineitem a""")
+def fingerprint_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest class of match of each line with the lines of the same part in other orders; lines without a partner are NO_MATCH.
+
+    Another order has the same fingerprint exactly if the fingerprint's smallest and largest order differ, so no pairs are built.
+    """
+    out = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    kinds = {"same": ["l_partkey", "l_suppkey", "l_quantity"], "similar": ["l_partkey", "l_suppkey"], "size": ["l_partkey", "l_quantity"]}
+    lines = out
+    for kind, keys in kinds.items():
+        shared = lines.groupBy(*keys).agg(F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high")).where("low < high").select(*keys, F.lit(True).alias(kind))
+        out = out.join(shared, keys, "left")
+    named = F.when(F.col("same"), "BYTE_IDENTICAL").when(F.col("similar"), "STRUCTURALLY_SIMILAR").when(F.col("size"), "SIZE_MATCH_ONLY").otherwise("NO_MATCH")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", named.alias("class"))

@@ -37,3 +37,29 @@ def test_same_rows(spark, duck, name):
     assert sorted(columns) == sorted(got.columns)
     rows = lambda data: sorted((tuple(map(plain, r)) for r in data), key=str)
     assert rows(got.select(columns).collect()) == rows(want.fetchall())
+
+
+def test_every_part_and_line(spark, tmp_path):
+    """Parts from 40 on have trees, keys that 500 would fold stay apart, and lines without a partner have a row."""
+    lines = [(1, 1, 7, 1, 5.0), (1, 2, 7, 2, 5.0), (2, 1, 507, 1, 5.0), (3, 1, 507, 1, 5.0), (4, 3, 507, 1, 6.0), (5, 4, 507, 3, 6.0), (6, 4, 507, 3, 7.0), (6, 5, 507, 4, 6.0), (6, 6, 507, 4, 9.0)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double"),
+        "part": ([(7,), (39,), (40,), (507,)], "p_partkey long"),
+        "supplier": ([(1, 3), (2, 3), (3, 4), (9500, 5)], "s_suppkey long, s_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    nation = {s: n for s, n in tables["supplier"][0]}
+    want = {(f"p{p}", f"p{p}", 0, 0) for (p,) in tables["part"][0]} | {(f"p{x[2]}", f"s{x[3]}", 1, 1) for x in lines}
+    of = {(x[2], x[3]) for x in lines if x[3] in nation}
+    want |= {(f"p{p}", f"n{nation[s]}", 2, sum(q == p and nation[t] == nation[s] for q, t in of)) for p, s in of}
+    got = catalog.QUERIES["part_tree_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+    def named(a):
+        others = [b for b in lines if b[2] == a[2] and b[0] != a[0]]
+        ranks = [0 if b[3:] == a[3:] else 1 if b[3] == a[3] else 2 if b[4] == a[4] else 3 for b in others]
+        return ("BYTE_IDENTICAL", "STRUCTURALLY_SIMILAR", "SIZE_MATCH_ONLY", "NO_MATCH")[min(ranks, default=3)]
+
+    got = catalog.QUERIES["fingerprint_compare_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((*a[:3], named(a)) for a in lines)
