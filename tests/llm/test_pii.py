@@ -90,3 +90,37 @@ def test_cards_in_pairs_and_single_digits(spark):
     texts = [between.join(number[i : i + n] for i in range(0, 16, n)) for n in (1, 2) for between in " -"]
     got = check(spark, list(enumerate(texts)))
     assert all(got[i][0].n_card == 1 for i in range(4))
+
+
+IBAN = "DE89 3704 0044 0532 0130 00"
+
+
+def test_ibans_before_other_words(spark):
+    plain = IBAN.replace(" ", "")
+    texts = [f"{x}{rest}" for x in (plain, IBAN) for rest in (" EUR", " BIC COBADEFFXXX", " Bank", " 12 EUR", ", GB82WEST12345698765432 A1", "", ".")]
+    texts += [f"AT61 {IBAN}", f"AT61 1904 3002 3457 3201 {IBAN} ABC", "é " * 50 + f"{plain} NOT", f"XX00 1234 5678 9012 345 {IBAN}"]
+    wrong = [f"{plain}X", f"{plain}x", IBAN[:-1] + "1 EUR", f"1{plain}", plain[:-1]]
+    rows = spark.createDataFrame(list(enumerate(texts + wrong)), "doc_id long, text string")
+    got = {r.doc_id: [r.text[x.start : x.end] for x in r.spans if x.kind == "iban"] for r in pii.spans(rows).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == [x for x in ("AT61 1904 3002 3457 3201", plain, IBAN, "GB82WEST12345698765432") if x in text], text
+    assert not any(got[i] for i in range(len(texts), len(texts + wrong)))
+
+
+def test_iban_of_an_unlisted_country(spark):
+    body = "1234567890123"
+    number = f"ZZ{98 - int(body + '353500') % 97:02}{body}"
+    rows = spark.createDataFrame([(f"{number} Bank",), (f"{number} is",)], "text string")
+    assert [[(x.start, x.end) for x in r.spans if x.kind == "iban"] for r in pii.spans(rows).collect()] == [[(0, len(number))]] * 2
+
+
+def test_context_on_either_side(spark):
+    """Score with the 40 characters about a span, whatever lies in them."""
+    texts = ["tel. (030) 123-4567 but 030 123-4567", "ssn 123-45-6789 / 123-45-6789", "123-45-6789 / 123-45-6789 ssn", "030 123-4567, 030 123-4568 mobile", f"{IBAN} konto", f"konto {IBAN} {IBAN}", f"{IBAN} " + "x" * 40 + " konto", "1.2.3.4 " * 300 + "host"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.spans(rows).collect():
+        assert len(r.spans) == (1 if r.doc_id in (4, 6) else 300 if r.doc_id == 7 else 2)
+        for x in r.spans:
+            near = f"{r.text[max(0, x.start - 40) : x.start]} {r.text[x.end : x.end + 40]}".lower()
+            base, more = pii.SCORES[x.kind]
+            assert x.score == (base + more if re.search(pii.CONTEXT[x.kind], near) else base), (r.text, x)
