@@ -2,9 +2,10 @@
 
 A text is the set of its terms' buckets. The machine adds to each bucket's weight the products of all
 pairs of buckets' vectors, and so learns that two terms mean together what neither means alone. Bucket
-counts by label come from all labelled rows that may be learned from; the buckets that tell the labels
-apart are the machine's inputs. The machine is fitted on at most MOST_ROWS of those rows, on the driver:
-a row is then a few bucket numbers. Scores are computed where the texts are.
+counts come from all labelled rows that may be learned from; every bucket that is seen often enough in them
+is an input, also one that tells nothing by itself. The machine is fitted on at most MOST_ROWS of those rows,
+on the driver: a row is then its bucket numbers, and a step touches only the inputs that its rows have. Scores
+are computed where the texts are.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches
 
-#: Buckets that terms are hashed to; buckets that become inputs; the least frequency of those; size of their vectors.
-BUCKETS, INPUTS, LEAST, FACTORS = 1 << 18, 512, 5, 8
+#: Buckets that terms are hashed to; the least frequency of those that become inputs; size of their vectors.
+BUCKETS, LEAST, FACTORS = 1 << 18, 5, 8
 #: Lengths of the beginnings of words that are terms too.
 PREFIXES = (4, 5)
 #: Rows that the machine is fitted on, at most: a sample by hash of doc_id. Passes over them, rows in a step, step, weight decay.
 MOST_ROWS, PASSES, BATCH, STEP, DECAY = 20_000, 60, 256, 0.02, 1e-5
 #: Labels are broadcast up to so many rows (an id and a number each, so below 64 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: Standard deviation of the vectors' first values; z from which an input takes whole steps, and the share of a step that any input takes.
+SPREAD, TELLING, SLOWEST = 0.01, 8, 0.03
 #: A text with this score or more counts as toxic.
 THRESHOLD = 0.3
 #: Rows with this remainder of crc32(doc_id as text) by FOLDS are held out.
@@ -67,32 +70,53 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(y, -40, 40))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, seed: int = 7) -> Machine:
-    """Fit on ``rows`` of input numbers by Adam on the logistic loss; the same rows give the same machine."""
+def train(rows: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, pace: np.ndarray | None = None, seed: int = 7) -> Machine:
+    """Fit on ``rows`` of distinct input numbers by Adam on the logistic loss; the same rows give the same machine.
+
+    ``pace`` is each input's share of the step, one if not given. A step updates the inputs of its rows
+    only, with the moments that they had when last seen.
+    """
     n, rng = max(1, int(inputs.max(initial=-1)) + 1), np.random.default_rng(seed)
+    pace = np.ones(n, np.float32) if pace is None else pace.astype(np.float32)
     rate = np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 1 - 1e-4)
-    theta = np.concatenate([np.zeros(n), rng.normal(0, 0.05, n * FACTORS)])
+    # an input's weight, then its vector
+    theta = np.column_stack([np.zeros(n), rng.normal(0, SPREAD, (n, FACTORS))]).astype(np.float32)
     bias = float(np.log(rate / (1 - rate)))
     m, s, mb, sb, step = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
+    order = rng.permutation(len(rows))
+    batches = [_batch([rows[j] for j in part], labels[part]) for part in (order[a : a + BATCH] for a in range(0, len(order), BATCH))]
     for _ in range(PASSES if len(set(labels.tolist())) > 1 else 0):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(rows), BATCH):
-            batch = order[a : a + BATCH]
-            x = np.zeros((len(batch), n))
-            for i, j in enumerate(batch):
-                x[i, rows[j]] = 1
-            w, v = theta[:n], theta[n:].reshape(n, FACTORS)
-            xv = x @ v
-            y = bias + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(y, -40, 40))) - labels[batch]) / len(batch)
-            gv = x.T @ (g[:, None] * xv) - (x.T @ g)[:, None] * v
-            grad, gb, step = np.concatenate([x.T @ g, gv.ravel()]) + DECAY * theta, float(g.sum()), step + 1
-            m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
+        for b in rng.permutation(len(batches)):
+            y0, full, starts, used, at, of, firsts = batches[b]
+            now = theta[used]
+            v = now[:, 1:]
+            total = np.zeros((len(y0), FACTORS + 2), np.float32)
+            if len(at):
+                total[full] = np.add.reduceat(np.column_stack([now, (v**2).sum(1)])[at], starts)
+            xv = total[:, 1:-1]
+            y = bias + total[:, 0] + 0.5 * ((xv**2).sum(1) - total[:, -1])
+            g = ((1 / (1 + np.exp(-np.clip(y, -40, 40))) - y0) / len(y0)).astype(np.float32)
+            gb, step = float(g.sum()), step + 1
             mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb**2
-            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            theta = theta - STEP * fix * m / (np.sqrt(s) + 1e-8)
+            fix = float(np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
             bias -= STEP * fix * mb / (np.sqrt(sb) + 1e-8)
-    return Machine(inputs, bias, theta[:n], theta[n:].reshape(n, FACTORS))
+            if len(at):
+                grad = np.add.reduceat(np.column_stack([g, g[:, None] * xv])[of], firsts)
+                grad[:, 1:] -= grad[:, :1] * v
+                grad += DECAY * now
+                m[used] = mu = 0.9 * m[used] + 0.1 * grad
+                s[used] = su = 0.999 * s[used] + 0.001 * grad**2
+                theta[used] = now - (STEP * fix * pace[used])[:, None] * mu / (np.sqrt(su) + 1e-8)
+    return Machine(inputs, float(bias), theta[:, 0].copy(), theta[:, 1:].copy())
+
+
+def _batch(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Labels; which rows have inputs and where these begin; the distinct inputs; each element's place among them; the elements' rows by input, and where an input's begin."""
+    size = np.array([len(x) for x in rows])
+    used, at = np.unique(np.concatenate(rows), return_inverse=True)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), size)[np.argsort(at, kind="stable")]
+    firsts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(used)))[:-1]]).astype(np.int64)
+    return labels, size > 0, (np.cumsum(size) - size)[size > 0], used, at.astype(np.int32), of, firsts
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +132,7 @@ def _rows(inputs: np.ndarray):
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = [inputs[buckets(t)] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "x": [v[v >= 0].tolist() for v in x]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "x": [v[v >= 0].astype(np.int32).tobytes() for v in x]})
 
     return rows
 
@@ -129,19 +153,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
         known = F.broadcast(known)
     known = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known, "doc_id")
     counts = known.select("text", "toxic").mapInPandas(_counts, "bucket long, clean long, toxic long")
-    counts = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST)
     n = known.groupBy("toxic").count().collect()
-    clean, toxic = (sum(r["count"] for r in n if r["toxic"] == x) for x in (0, 1))
-    # z of the difference of two shares; the most telling buckets are the inputs
-    share = (F.col("clean") + F.col("toxic")) / F.lit(max(1, clean + toxic))
-    z = F.abs(F.col("toxic") / max(1, toxic) - F.col("clean") / max(1, clean)) / F.sqrt(share * (1 - share) * (1 / max(1, toxic) + 1 / max(1, clean)) + 1e-12)
-    best = counts.where(F.col("clean") + F.col("toxic") >= LEAST).orderBy(z.desc(), "bucket").limit(INPUTS).select("bucket").collect()
+    clean, toxic = (max(1, sum(r["count"] for r in n if r["toxic"] == x)) for x in (0, 1))
+    seen = counts.toPandas().sort_values("bucket")
     inputs = np.full(BUCKETS, -1, np.int32)
-    inputs[sorted(r.bucket for r in best)] = np.arange(len(best))
-    rate = min(1.0, MOST_ROWS / max(1, clean + toxic))
+    inputs[seen["bucket"].to_numpy(np.int64)] = np.arange(len(seen))
+    # z of the difference of two shares: what tells the labels apart by itself is learned faster, nothing is left out
+    c, t = seen["clean"].to_numpy(float), seen["toxic"].to_numpy(float)
+    share = (c + t) / (clean + toxic)
+    z = np.abs(t / toxic - c / clean) / np.sqrt(np.maximum(share * (1 - share), 0) * (1 / toxic + 1 / clean) + 1e-12)
+    pace = np.clip((z / TELLING) ** 2, SLOWEST, 1) if len(seen) else None
+    rate = min(1.0, MOST_ROWS / (clean + toxic))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    rows = sorted(sample.mapInPandas(_rows(inputs), "doc_id long, toxic int, x array<int>").collect())
-    return train([np.array(r.x, np.int64) for r in rows], np.array([r.toxic for r in rows], float), inputs)
+    rows = sorted(sample.mapInPandas(_rows(inputs), "doc_id long, toxic int, x binary").collect())
+    return train([np.frombuffer(r.x, np.int32) for r in rows], np.array([r.toxic for r in rows], float), inputs, pace)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

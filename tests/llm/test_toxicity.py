@@ -48,3 +48,29 @@ def test_odd_rows(spark):
     nothing = toxicity.fit(docs, labels.limit(0))
     assert all(0 <= r.score < 0.3 for r in toxicity.score(docs, nothing).collect())
     assert toxicity.score(docs.limit(0), nothing).count() == 0
+
+
+def test_pair_among_thousands_of_words(spark):
+    """Only a pair of words tells the labels: each word alone is as frequent in toxic rows as in clean ones."""
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("bcdfghjklmnpqrstvwxz"), 3)) for _ in range(3000)]
+    rows = []
+    for i in range(8000):
+        a, b = r.integers(2, size=2)
+        rows.append((i, " ".join([*r.choice(words, 10), ("aab", "aac")[a], ("uub", "uuc")[b]]), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert (machine.inputs >= 0).sum() > 2000
+    out = toxicity.score(docs, machine).where(toxicity.held_out(docs["doc_id"])).toPandas()
+    assert len(out) > 1000 and ((out.score >= 0.5) == (out.toxic == 1)).mean() > 0.85
+
+
+def test_rare_insults(spark):
+    """Many insults, each in a few rows only, beyond the number that a short list of inputs would hold."""
+    r = np.random.default_rng(4)
+    insults = ["u" + "".join(r.choice(list("bcdfghjklmnp"), 7)) for _ in range(800)]
+    rows = [(i, " ".join([*(f"w{k}" for k in r.integers(500, size=8)), *([insults[i // 2 % 800]] if i % 2 else [])]), i % 2) for i in range(19200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    held = toxicity.score(docs, machine).where(toxicity.held_out(docs["doc_id"])).toPandas()
+    assert ((held.score >= 0.5) == (held.toxic == 1)).mean() > 0.9
