@@ -58,3 +58,11 @@ def test_odd_rows(spark):
     assert [i for _, i in got[0]] == [7, 8] and [i for _, i in got[8]] == [7, 0]
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>, score string")
     assert ann.search(frame).count() == 0
+
+
+def test_cluster_of_near_copies(spark):
+    """Thousands of slightly different vectors share a code; the nearest of them are found whole."""
+    rng = np.random.default_rng(6)
+    one = rng.normal(0, 1, 16)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([one + rng.normal(0, 1e-3, (3000, 16)), rng.normal(0, 1, (1000, 16))]).astype(np.float32))]
+    held(spark, rows, 100, 1.0)
