@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from siftwell.llm import ngram_join
 
 
@@ -69,6 +71,36 @@ def test_without_likely_partners(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 2)
     monkeypatch.setattr(ngram_join, "QUERIES", 3)
     check(spark, corpus(3, 200))
+    check(spark, corpus(5, 150), 5, 80)
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Of similar sets the prefixes share as many tokens as the smaller of their numbers says, whatever is frequent."""
+    r = random.Random(9)
+    for _ in range(300):
+        pool = np.array([r.getrandbits(64) for _ in range(r.randrange(2, 200))], np.uint64)
+        frequent = np.unique(pool[[r.random() < 0.6 for _ in pool]])
+        order = ngram_join.Order(frequent, np.array([r.randrange(16, 5000) for _ in frequent], np.int64))
+        x = np.unique(pool)
+        y = np.unique(np.concatenate([x[[r.random() < 0.95 for _ in x]], np.array([r.getrandbits(64) for _ in range(len(x) // 20)], np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if common and 100 * common >= 80 * (len(x) + len(y) - common):
+            (a, s), (b, t) = order.prefix(x, 80), order.prefix(y, 80)
+            assert len(np.intersect1d(a, b)) >= min(s, t) >= 1
+            limit = ngram_join.matrix_limit(80)
+            assert len(np.setdiff1d(x[x < limit], y)) <= len(x) - ngram_join.least(len(x), 80)
+
+
+def test_tokens():
+    import pyarrow as pa
+
+    texts = ["a b c d e", " A  b\tC d ", "a b", "", None, "\x0b\x0c", "é É x y z\x1c", "a b a b a b"]
+    sets = ngram_join.tokens(pa.array(texts), 3)
+    want = [shingles(t, 3) for t in texts]
+    assert [len(x) for x in sets] == [len(x) for x in want]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
 
 
 def test_odd_rows(spark):
