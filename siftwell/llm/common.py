@@ -28,6 +28,13 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them evenly."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. Only a local session without one gets a folder of its own."""
     base = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()

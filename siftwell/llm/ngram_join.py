@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, grouped_map, materialize, shuffle_partitions, table, text_batches
+from .common import components, grouped_map, materialize, mixed, shuffle_partitions, table, text_batches
 
 #: Words of a token and least similarity in hundredths, as the query asks.
 WORDS, PERCENT = 4, 85
@@ -56,13 +56,6 @@ BROADCAST_ROWS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads them evenly."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def tokens(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Each text's distinct tokens as sorted hashes: every ``words`` words in a row, or all of fewer; lower-cased A-Z, parted by ASCII white space."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -81,7 +74,7 @@ def tokens(texts: pa.Array, words: int) -> list[np.ndarray]:
     whole = np.full(max(n, 0), np.uint64(words), np.uint64)
     for i in range(words if n > 0 else 0):
         whole = whole * _STEP + h[i : n + i]
-    whole = _mixed(whole)
+    whole = mixed(whole)
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= words:
@@ -91,7 +84,7 @@ def tokens(texts: pa.Array, words: int) -> list[np.ndarray]:
             x = np.array([b - a], np.uint64)
             for y in h[a:b]:
                 x = x * _STEP + y
-            out.append(_mixed(x))
+            out.append(mixed(x))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -181,7 +174,7 @@ def signatures(docs: DataFrame, words: int, percent: int, order: Order) -> DataF
             low = np.empty((KEYS * HASHES, 0), np.uint64)
             if some:
                 flat, starts = np.concatenate(some), np.cumsum([0, *map(len, some[:-1])])
-                low = np.stack([np.minimum.reduceat(_mixed(flat ^ s), starts) for s in seeds])
+                low = np.stack([np.minimum.reduceat(mixed(flat ^ s), starts) for s in seeds])
             minima = iter(np.ascontiguousarray(low.T).reshape(-1, KEYS, HASHES))
             keys, prefixes, s, ids = [], [], [], []
             for x in sets:

@@ -12,9 +12,14 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, edits, least, least_near):
+def near(a, b, edits, per_edit):
+    most = min(edits, min(len(a), len(b)) // per_edit)
+    return a == b or most > 0 and abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
+def brute(rows, edits, per_edit):
     lines = [(d, i, x.strip(" \t\r")) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    lines = sorted(x for x in set(lines) if len(x[2]) >= least)
+    lines = sorted(x for x in set(lines) if x[2])
     at = list(range(len(lines)))
 
     def root(i):
@@ -24,8 +29,7 @@ def brute(rows, edits, least, least_near):
 
     for i, (_, _, a) in enumerate(lines):
         for j in range(i):
-            b = lines[j][2]
-            if a == b or min(len(a), len(b)) >= least_near and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            if near(a, lines[j][2], edits, per_edit):
                 x, y = root(i), root(j)
                 at[max(x, y)] = min(x, y)
     gone = {lines[i][:2] for i in range(len(lines)) if root(i) != i}
@@ -38,7 +42,6 @@ def test_distance():
         a = "".join(r.choice("abc") for _ in range(r.randrange(12)))
         b = list(a)
         for _ in range(r.randrange(5)):
-            b[r.randrange(len(b) + 1) :][:1]
             i = r.randrange(len(b) + 1)
             b[i : i + r.randrange(2)] = r.choice(["", "a", "b", "ca"])
         b = "".join(b)
@@ -46,7 +49,25 @@ def test_distance():
             assert line_dedup.within(a, b, k) == (distance(a, b) <= k), (a, b, k)
 
 
-def corpus(seed, n):
+def test_near_lines_share_a_key():
+    """Each kind of key brings every near pair together, one of the two as an entry; the same content has the same key."""
+    r = random.Random(8)
+    for find, per_edit in ((line_dedup.probes, 4), (line_dedup.fine_probes, 6)):
+        for _ in range(1500):
+            edits = r.choice([1, 2, 3]) if find is line_dedup.probes else r.choice([1, 2])
+            a = "".join(r.choice("abé") for _ in range(r.randrange(4, 30)))
+            b = list(a)
+            for _ in range(r.randrange(edits + 1)):
+                i = r.randrange(len(b) + 1)
+                b[i : i + r.randrange(2)] = r.choice(["", "a", "b", "é"])
+            b = "".join(b)
+            if a != b and near(a, b, edits, per_edit):
+                key, of, entry = line_dedup._hashes([a, b], lambda n: find(n, edits, per_edit))
+                keys = [{(k, e) for k, o, e in zip(key.tolist(), of, entry, strict=True) if o == i} for i in (0, 1)]
+                assert {k for k, _ in keys[0]} & {k for k, e in keys[1] if e} or {k for k, _ in keys[1]} & {k for k, e in keys[0] if e}, (a, b)
+
+
+def corpus(seed, n, sizes):
     r = random.Random(seed)
     seen, rows = [], []
     for d in range(n):
@@ -59,7 +80,7 @@ def corpus(seed, n):
                     x[i : i + r.randrange(2)] = r.choice(["", "é", "b", "c"])
                 x = "".join(x)
             else:
-                x = "".join(r.choice("abcdefgh é") for _ in range(r.choice([0, 5, 11, 12, 13, 20, 21, 40])))
+                x = "".join(r.choice("abcdefgh é") for _ in range(r.choice(sizes)))
             x = x.strip()
             seen.append(x)
             lines.append(r.choice(["", " "]) + x)
@@ -67,24 +88,32 @@ def corpus(seed, n):
     return rows
 
 
-def run(spark, rows, edits, least, least_near):
+def run(spark, rows, edits, per_edit):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs, edits, least, least_near).collect())
+    return sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs, edits, per_edit).collect())
 
 
 def test_random(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 3)
-    for seed, edits, near in ((1, 2, 8), (2, 1, 12), (3, 3, 10)):
-        rows = corpus(seed, 120)
-        assert run(spark, rows, edits, 5, near) == brute(rows, edits, 5, near)
+    for seed, edits, per_edit, hot in ((1, 2, 4, 256), (2, 1, 6, 4), (3, 3, 4, 256), (4, 2, 6, 3)):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        rows = corpus(seed, 120, [0, 5, 11, 12, 13, 20, 21, 40])
+        assert run(spark, rows, edits, per_edit) == brute(rows, edits, per_edit)
+
+
+def test_short_lines(spark):
+    """Lines of 5 to 45 characters under the query's own parameters."""
+    rows = corpus(7, 150, [1, 5, 18, 19, 20, 21, 22, 38, 39, 40, 41, 42, 45])
+    assert run(spark, rows, line_dedup.EDITS, line_dedup.PER_EDIT) == brute(rows, line_dedup.EDITS, line_dedup.PER_EDIT)
 
 
 def test_odd_rows(spark):
     line = "a line that is long enough to be compared, of some eighty characters in all, ok"
-    docs = [(1, line), (1, line), (2, None), (3, ""), (4, line + "\n" + line[:-1]), (None, line), (5, "x" * 300_000), (6, "x" * 299_999 + "\n\n")]
-    frame = spark.createDataFrame([(*x, "t", 1) for x in docs], "doc_id long, text string, line string, n_removed int")
+    docs = [(1, line), (1, line), (2, None), (3, ""), (4, line + "\n" + line[:-1]), (None, line), (5, "x" * 300_000), (6, "x" * 299_999 + "\n\n"), (7, "}\n}\n" * 3), (8, " \r\n\t")]
+    frame = spark.createDataFrame([(*x, "t", 1, 5) for x in docs], "doc_id long, text string, line string, n_removed int, t1 int")
     out = line_dedup.dedup(frame)
-    assert out.columns == ["doc_id", "text", "line", "n_lines", "n_removed"]
+    assert out.columns == ["doc_id", "text", "line", "t1", "n_lines", "n_removed"]
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str)
-    assert got == sorted([(1, "", 1, 1), (1, "", 1, 1), (2, None, 0, 0), (3, "", 1, 0), (4, "", 2, 2), (None, line, 1, 0), (5, "x" * 300_000, 1, 0), (6, "\n", 3, 1)], key=str)
+    want = [(1, "", 1, 1), (1, "", 1, 1), (2, None, 0, 0), (3, "", 1, 0), (4, "", 2, 2), (None, line, 1, 0), (5, "x" * 300_000, 1, 0), (6, "\n", 3, 1), (7, "}\n", 7, 5), (8, " \r\n\t", 2, 0)]
+    assert got == sorted(want, key=str)
     assert line_dedup.dedup(frame.limit(0)).count() == 0
