@@ -8,8 +8,13 @@ plan needs; it is all that reaches the driver. The plan is made in four steps:
 2. configurations of these few sizes: for the longest size left, the set of sizes that fills a sequence
    best is found by a bounded knapsack and used as often as the counts allow;
 3. substitution: the real pieces take the places of their groups, longest first, which frees the
-   rounded-up rest; sequences that hold the same lengths stay together as one class;
-4. best fit: small pieces, longest first, go where the least room is left for them, class by class.
+   rounded-up rest; sequences that hold the same lengths stay together as one class. A class that leaves
+   more room than a tolerance is taken apart again;
+4. best fit: small pieces and those of classes taken apart, longest first, go where the least room is left
+   for them, class by class, in all sequences.
+
+Numbers of groups and tolerances are tried, and the plan with the fewest sequences is taken. With every class
+taken apart, step 4 alone is best fit decreasing, so no plan has more sequences than that.
 
 The plan lists runs of pieces of one length. Each piece finds its place from its length and its rank
 among the pieces of that length; ranks are summed up over slots, so a length that a third of all pieces
@@ -19,47 +24,64 @@ share is no single task.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_batches
 
 CAPACITY, END_ID = 1024, 2
-#: Groups of equal cardinality of the large pieces, which are longer than CAPACITY // SMALL.
-GROUPS, SMALL = 256, 8
-#: Slots that the pieces of one length are ranked in.
-SLOTS = 256
+#: Groups of equal cardinality of the large pieces, which are longer than CAPACITY // SMALL; room that a configuration may leave, -1 for none that stays.
+GROUPS, SMALL, TOLERANCES = (16, 64, 256), 8, (1024, 32, 8, 2, 0, -1)
+#: The pieces of one length are ranked in so many slots, or more: so many pieces in a slot, about.
+SLOTS, SLOT_ROWS = 256, 20_000
 #: Ids that go back to Spark at once, or a whole document's.
 FRAME_IDS = 1 << 19
+#: Runs of white space from this length on are left to the library tokenizers: the faster one's regular expression recurses on them.
+LONG_SPACE = 50_000
 
 
 def tokenizer_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE whose ranks are in the file ``path``; kept by each Python worker.
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text by the tokenizer file ``path``, added tokens read, none added; kept by each Python worker.
 
-    These are the ranks of ``byte_bpe_50k.json``, and the ids are those that the library tokenizers gives
-    for that file (tests hold one against the other), in a fifth of its time.
+    The ids come from the ranks that stand beside the file in its ``.tiktoken`` form, in a fifth of the
+    time that the library tokenizers takes for the same ids (tests hold one against the other); that
+    library does the texts with very long runs of white space.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
+    ranks_path = path.removesuffix(".json") + ".tiktoken"
+    with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    library = Tokenizer.from_file(path)
+    added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    names, long_space = set(added), re.compile(rf"\s{{{LONG_SPACE}}}")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_SPACE and long_space.search(text):
+            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return fast.encode_to_numpy(text, allowed_special=names, disallowed_special=())
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -71,30 +93,40 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, piece, start, length, ids, ids_crc32.
 
-    A document is the ids of its text, no special token added or read, then ``end_id``; a null text is
-    empty. Each row of ``docs`` gives its own pieces, repeated rows and null ids too. Other columns are
-    ignored. ``path`` is a file of BPE ranks that every executor has.
+    A document is the ids of its text, no special token added, then ``end_id``; a null text is empty. Each
+    row of ``docs`` gives its own pieces, repeated rows and null ids too. Other columns are ignored. A text
+    may be as long as a column's value can be. ``path`` is a tokenizer file that every executor has, with
+    its BPE ranks beside it.
     """
     path = path or tokenizer_path()
-
-    def tokenised(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_ordinary
-        names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
+
+    def frame(doc_id: pa.Array, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        of, piece, start, length, crc = [], [], [], [], []
+        for i, ids in held:
+            data = memoryview(ids).cast("B")
+            for k, (s, n) in enumerate(cut(len(ids), capacity)):
+                of.append(i), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(data[4 * s : 4 * (s + n)]))
+        flat = np.concatenate([ids for _, ids in held]).view(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(flat))
+        columns = [doc_id.take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length)), lists, pa.array(crc, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def tokenised(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(path), np.array([end_id], "<u4")
         for batch in batches:
-            out, size = [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*encode(text), end_id], "<u4")
-                for k, (s, n) in enumerate(cut(len(ids), capacity)):
-                    part = ids[s : s + n]
-                    out.append((doc_id, k, s, n, part.astype(np.int32), zlib.crc32(part.tobytes())))
-                size += len(ids)
+            doc_id, held, size = batch.column("doc_id").cast(pa.int64()), [], 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                held.append((i, np.concatenate([encode(text).astype("<u4", copy=False), end])))
+                size += len(held[-1][1])
                 if size >= FRAME_IDS:
-                    yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-                    out, size = [], 0
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                    yield frame(doc_id, held)
+                    held, size = [], 0
+            if held:
+                yield frame(doc_id, held)
 
     schema = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(tokenised, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tokenised, schema)
 
 
 @dataclass(frozen=True)
@@ -147,8 +179,23 @@ def best_set(sizes: list[int], left: list[int], start: int, capacity: int) -> di
     return chosen
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[list[Run], int]:
-    """Runs that place ``counts`` of pieces by length, and the number of sequences."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: Sequence[int] = GROUPS, small: int = SMALL, tolerances: Sequence[int] = TOLERANCES) -> tuple[list[Run], int]:
+    """Runs that place ``counts`` of pieces by length, and the number of sequences: the best of all numbers of groups and tolerances."""
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best = None
+    for g in groups:
+        for tolerance in tolerances:
+            found = planned(counts, capacity, g, small, tolerance)
+            if best is None or found[1] < best[1]:
+                best = found
+            if best[1] == least:
+                return best
+    return best
+
+
+def planned(counts: dict[int, int], capacity: int, groups: int, small: int, tolerance: int) -> tuple[list[Run], int]:
+    """The plan for one number of groups; configurations that leave more than ``tolerance`` are taken apart."""
+    pool = {n: c for n, c in counts.items() if n <= capacity // small}
     runs: list[Run] = []
     used = counts.get(capacity, 0)
     if used:
@@ -168,19 +215,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
                     lines.append(_take(queues[i], times))
             while times:
                 n = min(line[-1][1] for line in lines)
-                offset = 0
+                keep, offset = capacity - sum(line[-1][0] for line in lines) <= tolerance, 0
                 for line in lines:
                     length = line[-1][0]
-                    runs.append(Run(length, n, used, 1, offset))
+                    if keep:
+                        runs.append(Run(length, n, used, 1, offset))
+                    else:
+                        pool[length] = pool.get(length, 0) + n
                     offset += length
                     line[-1][1] -= n
                     if not line[-1][1]:
                         line.pop()
-                rooms.setdefault(capacity - offset, []).append((used, n))
-                used, times = used + n, times - n
+                if keep:
+                    rooms.setdefault(capacity - offset, []).append((used, n))
+                    used += n
+                times -= n
     order = sorted(rooms)
-    for length in sorted((n for n in counts if n <= capacity // small), reverse=True):
-        n = counts[length]
+    for length in sorted(pool, reverse=True):
+        n = pool[length]
         while n:
             at = bisect_left(order, length)
             if at == len(order):
@@ -218,13 +270,14 @@ def _take(queue: list[list[int]], n: int) -> list[list[int]]:
     return out[::-1]
 
 
-def place(cut_up: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+def place(cut_up: DataFrame, capacity: int = CAPACITY, groups: Sequence[int] = GROUPS, small: int = SMALL) -> DataFrame:
     """``cut_up`` (doc_id, piece, length, ids_crc32 and any others) with sequence_id and offset.
 
     Read more than once, so it should be stored. Pieces of a length may be placed in any order; ties are
     ordered by doc_id, piece and ids_crc32, and equal rows may change places.
     """
-    d = cut_up.drop("sequence_id", "offset").withColumn("_slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLOTS)))
+    slots = max(SLOTS, -(-cut_up.count() // SLOT_ROWS))
+    d = cut_up.drop("sequence_id", "offset").withColumn("_slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slots)))
     slots = materialize(d.groupBy("length", "_slot").agg(F.count("*").alias("n")), "lengths")
     counts = {r.length: r.n for r in slots.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan(counts, capacity, groups, small)

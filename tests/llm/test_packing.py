@@ -1,5 +1,6 @@
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,19 +15,25 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_ids(reference, spark, sf):
-    encode = packing.encoder(packing.tokenizer_path()).encode_ordinary
+    encode = packing.encoder(packing.tokenizer_path())
     r = random.Random(4)
     texts = [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     for low, high in ((0, 0x250), (0x250, 0x3000), (0x3000, 0xD000), (0xE000, 0x20000), (0x20, 0x7F)):
         texts += ["".join(chr(r.randrange(low, high)) if r.random() < 0.8 else r.choice(" \n\t\r  '") for _ in range(60)) for _ in range(300)]
-    texts += ["", " ", "   a  b\n\n c ", "<|endoftext|>", "it's we'LL 12 345٣", "a" * 5000]
+    texts += ["", " ", "   a  b\n\n c ", "<|endoftext|>", "x <|endoftext|> y", "<|endoftext|><|endoftext|>\n <|endoftext|", "it's we'LL 12 345٣", "a" * 5000]
     for text in texts:
-        assert encode(text) == reference(text), text
+        assert encode(text).tolist() == reference(text), text
+
+
+@pytest.mark.parametrize("piece", ["a", "ab ", "1", "!", "é", "😀", "\t\n", " ", "\n", "\u3000", "中", "\u0301", "a" + " " * 60_000])
+def test_very_long_texts(reference, piece):
+    text = (piece * (2_000_000 // len(piece) + 1))[:2_000_000]
+    ids = packing.encoder(packing.tokenizer_path())(text)
+    assert ids.tolist() == reference(text)
 
 
 def test_cut():
@@ -48,6 +55,24 @@ def filled(runs, counts, used, capacity):
         assert at <= capacity
 
 
+def best_fit_decreasing(counts, capacity):
+    rooms = []
+    for length in sorted(counts.elements(), reverse=True):
+        at = bisect_left(rooms, length)
+        insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - length)
+    return len(rooms)
+
+
+def test_plan_of_the_tables():
+    """Not more sequences than best fit decreasing, on the lengths of a table; configurations are in use."""
+    r = random.Random(12)
+    counts = Counter(min(1024, 1 + int(r.lognormvariate(5.5, 1.0))) for _ in range(20_000))
+    counts[1024] += 3000
+    runs, used = packing.plan(dict(counts))
+    filled(runs, counts, used, 1024)
+    assert used <= best_fit_decreasing(counts, 1024)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     r = random.Random(seed)
@@ -55,6 +80,7 @@ def test_plan(seed):
     counts = Counter(draw() for _ in range(5000))
     runs, used = packing.plan(dict(counts))
     filled(runs, counts, used, 1024)
+    assert used <= best_fit_decreasing(counts, 1024)
     if seed in (0, 1, 4):
         assert used <= 1.02 * sum(n * c for n, c in counts.items()) / 1024 + 2
 
