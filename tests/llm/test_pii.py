@@ -63,7 +63,7 @@ def check(spark, rows):
 def test_odd_texts(spark):
     got = check(spark, list(enumerate(TEXTS)) + [(3, TEXTS[3])])
     spans = {i: [x.split(":")[0] for x in r[0].spans.split(",") if x] for i, r in got.items()}
-    assert spans[12] == ["iban", "iban"] and spans[13] == ["local_phone"] and spans[14] == ["ssn", "ssn"]
+    assert spans[12] == ["iban", "iban"] and spans[13] == ["local_phone", "local_phone"] and spans[14] == ["ssn", "ssn"]
 
 
 def test_random_texts(spark):
