@@ -46,6 +46,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def packed(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns but ``used`` in one, whose name no column has, and a function that unpacks them.
+
+    What an operator adds to ``docs`` can then clash with none of them; the function gives back the columns
+    of ``docs`` in their order, with ``used`` as the operator left them.
+    """
+    name = "_rest"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    rest = [c for c in docs.columns if c not in used]
+    whole = docs.select(*(F.col(f"`{c}`") for c in used), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias(name)).alias(name))
+    return whole, lambda df: df.select(*(F.col(f"`{c}`") if c in used else F.col(f"{name}.`{c}`") for c in docs.columns))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession

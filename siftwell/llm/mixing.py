@@ -6,7 +6,8 @@ emitted once for each integer that its part of the sum crosses. The order goes b
 gives lies within a few documents of its target.
 
 The running sum must not put a large source into one task: documents are dealt to slots, (source, size
-band, residue of doc_id), the slots' counts are summed in order, and ranks are taken within slots.
+band, residue of doc_id, size), the slots' counts are summed in order, and ranks are taken within slots. So
+there are as many slots as there are sizes and residues, more with every larger corpus.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import materialize, table
 
 #: Weights of the sources in order, repeating; share of all words that the mix takes; most copies of a source's words.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Residues of doc_id within a size band of a source: the most tasks that a band is split into.
+#: Residues of doc_id within a size band of a source.
 SLOTS = 256
 #: Names the one offset of each source.
 SEED = "mix"
@@ -56,30 +57,33 @@ def offset(skey: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), skey).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, size: Column | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 or more).
 
-    ``docs`` needs doc_id, source and text, or a ready ``size``. Null text has size 0, null source is a
-    source of its own, and null doc_ids share a slot. Repeated rows are documents like any other. Without
-    words every target is 0. The columns added replace any of the same name; others pass through.
+    ``docs`` needs doc_id, source and text, or a ready ``size`` that is given as an expression. Null text has
+    size 0, null source is a source of its own, and null doc_ids share a residue. Repeated rows are documents
+    like any other; texts of one doc_id and size are ordered by their hashes, so that reruns agree. Without
+    words every target is 0, and an empty table gives an empty one. Texts may be as long as a column's value
+    can be. The columns added replace any of the same name; others pass through.
     """
-    if "size" not in docs.columns:
-        docs = docs.withColumn("size", words(F.col("text")))
+    docs = docs.withColumn("size", words(F.col("text")) if size is None else size)
     bits = F.length(F.bin("size"))
+    tie = [F.xxhash64("text")] if "text" in docs.columns else []
     d = docs.drop("source_size", "target", "copies").withColumns({
-        "skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
-        "band": bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))"),
-        "slot": F.coalesce(F.pmod("doc_id", F.lit(SLOTS)), F.lit(0)).cast("int"),
+        "_skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
+        "_band": bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))"),
+        "_slot": F.coalesce(F.pmod("doc_id", F.lit(SLOTS)), F.lit(0)).cast("int"),
     })
-    slots = materialize(d.groupBy("skey", "band", "slot").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")), "slots")
-    sizes = slots.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
-    starts = Window.partitionBy("skey").orderBy("band", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select("skey", "band", "slot", F.coalesce(F.sum("n").over(starts), F.lit(0)).alias("before")).join(targets(sizes, weights, share, most), "skey")
-    within = Window.partitionBy("skey", "band", "slot").orderBy("size", F.col("doc_id").asc_nulls_first())
-    d = d.join(slots, ["skey", "band", "slot"]).withColumn("rank", F.col("before") + F.row_number().over(within))
+    keys = ["_skey", "_band", "_slot", "size"]
+    slots = materialize(d.groupBy(*keys).agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")), "slots")
+    sizes = slots.groupBy(F.col("_skey").alias("skey")).agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    starts = Window.partitionBy("_skey").orderBy("_band", "_slot", "size").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*keys, F.coalesce(F.sum("n").over(starts), F.lit(0)).alias("_before")).join(targets(sizes, weights, share, most).withColumnRenamed("skey", "_skey"), "_skey")
+    within = Window.partitionBy(*keys).orderBy(F.col("doc_id").asc_nulls_first(), *tie)
+    d = d.join(slots, keys).withColumn("_rank", F.col("_before") + F.row_number().over(within))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(F.col("rank") * each + offset(F.col("skey"), seed)) - F.floor((F.col("rank") - 1) * each + offset(F.col("skey"), seed))
-    return d.withColumn("copies", copies.cast("int")).drop("skey", "band", "slot", "before", "rank")
+    copies = F.floor(F.col("_rank") * each + offset(F.col("_skey"), seed)) - F.floor((F.col("_rank") - 1) * each + offset(F.col("_skey"), seed))
+    return d.withColumn("copies", copies.cast("int")).select(*(c for c in docs.columns if c not in ("size", "source_size", "target", "copies")), "size", "source_size", "target", "copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def emit(mixed: DataFrame) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    return mix(sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mix(sizes, size=F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = f"""

@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark, sf):
         if name == "toxicity":
             want = [r for r in before if machine.score(r.text) < toxicity.THRESHOLD]
         elif name == "line dedup":
-            texts = dict(brute_lines([(r.doc_id, r.text) for r in before], 2, 20, 40))
+            texts = dict(brute_lines([(r.doc_id, r.text) for r in before], 2, 20))
             want = [docs_row(r, texts[r.doc_id]) for r in before if texts[r.doc_id] == r.text or texts[r.doc_id].strip()]
         elif name == "n-gram Jaccard join":
             first = {d: c for d, n, c in brute_join([(r.doc_id, r.text) for r in before], 5, 80) if n}
@@ -56,6 +56,32 @@ def test_stages_against_brute_force(spark, sf):
         docs = out
 
 
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, empty and very long texts, repeated rows, an empty table and columns named like those that operators add."""
+    line = "a line of some length that more than one of the documents has, more or less"
+    rows = [(1, line, "s"), (1, line, "s"), (2, None, None), (None, line + "!", "s"), (3, "", "t"), (4, "w " * 200_000, "t"), (None, None, None), (5, " \n", "s"), (6, "one two three four five six seven", "t"), (7, "one two three four five six seven", None)]
+    extra = "size int, score string, predicted int, n_removed int, n_lines int, component_id string, n_shingles int, target int, copies int, source_size int, lang string, piece int, _rest int, rid int, t1 int"
+    names = ["doc_id", "text", "source", *(x.split()[0] for x in extra.split(", "))]
+    docs = spark.createDataFrame([(*r, *(("x" if x.endswith("string") else 9) for x in extra.split(", "))) for r in rows], "doc_id long, text string, source string, " + extra)
+    kept = {"toxicity": None, "line dedup": None, "n-gram Jaccard join": None}
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, sf), "odd")
+        got = out.collect()
+        again = stage(spark, docs.repartition(3), sf).collect()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name.startswith("best-fit"):
+            same = [Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in x) for x in (got, again)]
+            assert same[0] == same[1] and len({(r.doc_id, r.ids_crc32) for r in got if r.piece == 0}) == len({(r.doc_id, r.text or "") for r in docs.collect()})
+            break
+        assert out.columns == names and Counter(map(repr, got)) == Counter(map(repr, again)), name
+        assert all(r.size == 9 and r.score == "x" and r.component_id == "x" and r._rest == 9 for r in got)
+        if name == "line dedup":
+            assert sorted((str(r.doc_id), r.text) for r in got if r.text and line in r.text) == [("None", line + "!")]
+        if name == "n-gram Jaccard join":
+            assert [r.doc_id for r in got if r.text and r.text.startswith("one")] == [6]
+        docs = out
+
+
 def key(r):
     return (r.doc_id, r.text, r.lang, r.source, r.n_chars)
 
