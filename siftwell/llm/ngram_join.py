@@ -11,7 +11,8 @@ members compared.
 3. Every pair that may still be missed shares one of its prefix tokens: with tokens in one order for all,
    rare before frequent, two sets with enough common tokens share s of their first n - ceil(t n) + s. Nodes
    that share such tokens with nodes they aren't linked with are partitioned into groups of similar ones
-   of about one size, and each is a query to every group that holds s of its prefix tokens.
+   of about one size, and each is a query to every group that holds s of its prefix tokens. A shared token
+   counts where what stands behind it in both sets can still hold the overlap that their sizes ask for.
 4. The matrix: a group's row is stored as the union of its members' tokens in a fixed part of the range of
    hashes. A query that lacks more tokens there than it may differ from a partner by, lacks them in every
    member, and the group stays closed. Texts move only to groups that open.
@@ -47,8 +48,8 @@ COUNTED, COUNTED_MORE = 1.25, 32
 SHARED = 16
 #: Min-hash keys and hashes in each.
 KEYS, HASHES = 3, 2
-#: Members of a group, about, and queries to it in a task.
-GROUP, QUERIES = 256, 256
+#: Members of a group, about, and queries to it in a task; ratio of the largest to the smallest size in a group.
+GROUP, QUERIES, BAND = 256, 256, 1.05
 
 #: Keys of texts that are to be compared are broadcast up to so many (some 60 bytes each, so below 64 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
@@ -306,21 +307,25 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     links = compare(likely, likely.select("group", F.col("group").alias("node")).distinct(), alone, base, words, percent, "likely-links")
     linked = materialize(with_groups(firsts.select("node", "n", "shared", "text_key", "rid"), links), "linked")
     # prefix tokens that nodes of more than one component hold
-    held = firsts.select("node", F.explode("prefix").alias("token")).join(linked.select("node", "component"), "node")
+    held = firsts.select("node", F.posexplode("prefix").alias("at", "token")).join(linked.select("node", "component"), "node")
     held = held.repartition(shuffle_partitions(docs.sparkSession), "token")
     several = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     # with the same columns on both sides, one exchange serves both
-    held = materialize(held.join(several, "token", "left_semi").select("token", "node", "component"), "held").drop("component")
-    # groups of similar nodes: by the least such token and a band of sizes, at most about GROUP in each
+    held = materialize(held.join(several, "token", "left_semi").select("token", "at", "node", "component"), "held").drop("component")
+    # groups of similar nodes: by the least such token and a narrow band of sizes, at most about GROUP in each
     likes = held.groupBy("node").agg(F.min("token").alias("like")).join(linked.select("node", "n", "shared", "component"), "node")
-    likes = likes.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent))) if percent < 100 else F.col("n"))
+    likes = likes.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))))
     parts = likes.groupBy("like", "band").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
     grouped = likes.join(parts, ["like", "band"]).withColumn("group", F.xxhash64("like", "band", F.pmod(F.xxhash64("node"), F.col("parts"))))
     grouped = materialize(grouped.select("node", "group", "n", "shared", "component"), "members")
-    held = held.join(grouped, "node")
-    rows = held.groupBy("token", "group").agg(F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("shared").alias("shared"))
+    # tokens of a set from the shared one on, itself included
+    held = held.join(grouped, "node").withColumn("rest", F.col("n") - F.col("at"))
+    rows = held.groupBy("token", "group").agg(F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("shared").alias("shared"), F.max("rest").alias("rest"))
     q, g = held.alias("q"), rows.alias("g")
     near = (F.col("q.component") < F.col("g.high")) & (100 * F.col("q.n") >= percent * F.col("g.least")) & (100 * F.col("g.most") >= percent * F.col("q.n"))
+    # the s first shared tokens of a similar pair have at least its overlap, t (n + m) / (1 + t), less s - 1 in their rests
+    rest = F.least("q.rest", "g.rest") + F.least("q.shared", "g.shared") - 1
+    near = near & ((100 + percent) * rest >= percent * (F.col("q.n") + F.col("g.least")))
     met = q.join(g, (F.col("q.token") == F.col("g.token")) & near).groupBy("q.node", "g.group").agg(F.count("*").alias("met"), F.min("q.shared").alias("own"), F.min("g.shared").alias("other"))
     pairs = materialize(met.where(F.col("met") >= F.least("own", "other")).select("node", "group"), "pairs")
     members = grouped.select("group", "node")
