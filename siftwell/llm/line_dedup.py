@@ -37,6 +37,8 @@ BLOCK, SEEN = 64, 200_000
 CHARACTERS = 1 << 20
 #: Lines whose text is wanted are broadcast up to so many (8 bytes each, so below 64 MB with their copies), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: Probes that a task keeps in its table.
+KNOWN = 1_000_000
 #: Classes of characters that the letter filter counts.
 LETTERS = 64
 
@@ -178,26 +180,59 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("doc_id", *_text_keys(), "text").mapInArrow(rows, "doc_id long, t1 long, t2 long, line_no int, k1 long, k2 long")
 
 
-def _hashes(lines: list[str], find: Callable[[int], list[Probe]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all probes of ``lines``, the place of each one's line, and whether it is an entry."""
-    size = np.array([len(x) for x in lines])
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), _BASE)]), dtype=np.uint64)
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), _INVERSE)]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * powers[:-1], dtype=np.uint64)])
-    first = np.cumsum(size) - size
-    key, of, entry = [], [], []
-    for n in np.unique(size).tolist():
-        own = np.flatnonzero(size == n)
-        for name, where, is_entry in find(n):
-            h = np.full(len(own), np.uint64(xxhash.xxh64_intdigest(repr(name))))
-            for s, e in where:
-                a = first[own] + s
-                h = mixed(h + (sums[a + (e - s)] - sums[a]) * inverse[a])
-            key.append(h), of.append(own), entry.append(np.full(len(own), is_entry))
-    if not key:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
-    return np.concatenate(key), np.concatenate(of), np.concatenate(entry)
+class Probes:
+    """The probes of lines by their length, as one table, so that a batch of lines is hashed at once.
+
+    ``find`` names a length's probes. The table is emptied before it holds more than KNOWN of them.
+    """
+
+    def __init__(self, find: Callable[[int], list[Probe]]):
+        self.find = find
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict[int, tuple[int, int]] = {}
+        self.names, self.entries, self.starts, self.ends = np.empty(0, np.uint64), np.empty(0, bool), np.empty((0, 0), np.int64), np.empty((0, 0), np.int64)
+
+    def _learn(self, sizes: list[int]) -> None:
+        if len(self.names) > KNOWN:
+            self._clear()
+        new = [n for n in sizes if n not in self.rows]
+        if not new:
+            return
+        added, at = [], len(self.names)
+        for n in new:
+            own = self.find(n)
+            self.rows[n] = (at, len(own))
+            at += len(own)
+            added += own
+        parts = max([self.starts.shape[1], *(len(where) for _, where, _ in added)])
+        # an empty substring for each that a probe lacks; how many it has follows from its name
+        more = np.zeros((2, len(added), parts), np.int64)
+        for i, (_, where, _) in enumerate(added):
+            for k, (s, e) in enumerate(where):
+                more[0, i, k], more[1, i, k] = s, e
+        wide = [np.pad(x, ((0, 0), (0, parts - x.shape[1]))) for x in (self.starts, self.ends)]
+        self.starts, self.ends = (np.concatenate([x, y]) for x, y in zip(wide, more, strict=True))
+        self.names = np.concatenate([self.names, np.array([xxhash.xxh64_intdigest(repr(name)) for name, _, _ in added], np.uint64)])
+        self.entries = np.concatenate([self.entries, np.array([e for _, _, e in added], bool)])
+
+    def keys(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all probes of ``lines``, the place of each one's line, and whether it is an entry."""
+        size = np.array([len(x) for x in lines], np.int64)
+        self._learn(np.unique(size).tolist())
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), _BASE)]), dtype=np.uint64)
+        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), _INVERSE)]), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * powers[:-1], dtype=np.uint64)])
+        at, count = np.array([self.rows[n] for n in size.tolist()], np.int64).reshape(-1, 2).T
+        of = np.repeat(np.arange(len(lines)), count)
+        row = np.repeat(at - np.cumsum(count) + count, count) + np.arange(count.sum())
+        first, h = (np.cumsum(size) - size)[of], self.names[row]
+        for k in range(self.starts.shape[1]):
+            a, e = first + self.starts[row, k], first + self.ends[row, k]
+            h = mixed(h + (sums[e] - sums[a]) * inverse[a])
+        return h, of, self.entries[row]
 
 
 def _chunks(lines: pa.Array, keys: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -214,15 +249,9 @@ def _chunks(lines: pa.Array, keys: np.ndarray) -> Iterator[tuple[list[str], np.n
 
 
 def _keys(edits: int, per_edit: int):
-    known: dict[int, list[Probe]] = {}
-
-    def find(n: int) -> list[Probe]:
-        if n not in known:
-            known[n] = probes(n, edits, per_edit)
-        return known[n]
-
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        known = Probes(lambda n: probes(n, edits, per_edit))
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
@@ -231,7 +260,7 @@ def _keys(edits: int, per_edit: int):
             ids = _identities(lines)
             fresh = [i for i, k in enumerate(ids[:, 0].tolist()) if not (k in seen or seen.add(k))]
             for part, own in _chunks(lines.take(pa.array(fresh, pa.int64())), ids[fresh, 0]):
-                key, of, entry = _hashes(part, find)
+                key, of, entry = known.keys(part)
                 # the last bit says which keys are entries
                 yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(1)).view(np.int64)), pa.array(own[of] & -2 | entry)], ["key", "line"])
 
@@ -240,10 +269,11 @@ def _keys(edits: int, per_edit: int):
 
 def _fine(edits: int, per_edit: int):
     def keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Probes(lambda n: fine_probes(n, edits, per_edit))
         for batch in batches:
             ids, lines = batch["line"].to_numpy(np.int64), batch["text"].tolist()
             for a in range(0, len(lines), 200):
-                key, of, entry = _hashes(lines[a : a + 200], lambda n: fine_probes(n, edits, per_edit))
+                key, of, entry = known.keys(lines[a : a + 200])
                 yield pd.DataFrame({"key": (key >> np.uint64(1)).view(np.int64), "line": ids[a : a + 200][of] & -2 | entry})
 
     return keys

@@ -62,7 +62,7 @@ def test_near_lines_share_a_key():
                 b[i : i + r.randrange(2)] = r.choice(["", "a", "b", "é"])
             b = "".join(b)
             if a != b and near(a, b, edits, per_edit):
-                key, of, entry = line_dedup._hashes([a, b], lambda n: find(n, edits, per_edit))
+                key, of, entry = line_dedup.Probes(lambda n: find(n, edits, per_edit)).keys([a, b])
                 keys = [{(k, e) for k, o, e in zip(key.tolist(), of, entry, strict=True) if o == i} for i in (0, 1)]
                 assert {k for k, _ in keys[0]} & {k for k, e in keys[1] if e} or {k for k, _ in keys[1]} & {k for k, e in keys[0] if e}, (a, b)
 
