@@ -39,7 +39,7 @@ from .common import components, grouped_map, materialize, mixed, shuffle_partiti
 
 #: Words of a token and least similarity in hundredths, as the query asks.
 WORDS, PERCENT = 4, 85
-#: Tokens put last in the order: those in so many documents or more, and of these at most so many (8 bytes each, so below 32 MB
+#: Tokens put last in the order: those in so many documents or more, and of these at most so many (9 bytes each, so below 40 MB
 #: in memory), the most frequent first. What is not in the list is rarer than all of it, so a token outside brings few documents together.
 FREQUENT, FREQUENT_FROM = 4_000_000, 16
 #: Of a set, the tokens that are counted for the list: this many times those that a prefix must have, and so many more. Sets below some 40 tokens are counted whole.
@@ -133,10 +133,24 @@ def text_key(text: Column | str = "text") -> Column:
     return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"))
 
 
-def _counted(words: int, percent: int) -> Callable:
+def _ahead(n: int, percent: int) -> int:
+    """Of ``n`` tokens in order of their hashes, those that are counted for all sets."""
+    return int(COUNTED * (n - least(n, percent))) + COUNTED_MORE
+
+
+def _counted(words: int, percent: int, order: Order | None = None) -> Callable:
+    """Counts of the tokens ahead; with ``order``, of those behind, in sets that have too few rare tokens ahead for their prefix."""
+
+    def behind(x: np.ndarray) -> np.ndarray:
+        ahead, must = _ahead(len(x), percent), least(len(x), percent)
+        if len(x) <= ahead or np.count_nonzero(order.level(x[:ahead]) == 0) >= len(x) - must + min(SHARED, must):
+            return x[:0]
+        return x[ahead:]
+
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x[: int(COUNTED * (len(x) - least(len(x), percent))) + COUNTED_MORE] for x in tokens(batch.column("text"), words)]
+            sets = tokens(batch.column("text"), words)
+            found = [x[: _ahead(len(x), percent)] for x in sets] if order is None else list(map(behind, sets))
             token, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
@@ -144,12 +158,26 @@ def _counted(words: int, percent: int) -> Callable:
 
 
 def frequent_tokens(docs: DataFrame, words: int, percent: int) -> Order:
-    """The order that puts last what is frequent among the tokens that prefixes are taken from."""
-    counts = docs.select("text").mapInArrow(_counted(words, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    token = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return Order(token[order], top["n"].to_numpy(np.int64)[order])
+    """The order that puts last what is frequent among the tokens that prefixes are taken from.
+
+    Most prefixes lie among a set's tokens ahead. Where too many of these are frequent, the prefix goes on
+    behind them, and so the tokens behind are counted too, in those sets.
+    """
+
+    def frequent(order: Order | None) -> tuple[np.ndarray, np.ndarray]:
+        counts = docs.select("text").mapInArrow(_counted(words, percent, order), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        top = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT // 2).toPandas()
+        return top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+
+    def ordered(token: np.ndarray, n: np.ndarray) -> Order:
+        at = np.lexsort((-n, token))
+        token, n = token[at], n[at]
+        first = np.append(True, token[1:] != token[:-1])[: len(token)]
+        return Order(token[first], n[first])
+
+    ahead = frequent(None)
+    more = frequent(ordered(*ahead))
+    return ordered(*(np.concatenate(x) for x in zip(ahead, more, strict=True)))
 
 
 def matrix_limit(percent: int) -> np.uint64:
