@@ -5,12 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import islands
+
 #: Evidence strengths, weakest first.
 STRENGTHS = ("WEAK", "CORROBORATING", "STRONG", "CRYPTO_VALID")
-#: Fixed words of the status vocabulary; any other word is an error.
-CRYPTO_WORDS = ("CHECKSUM_VALID", "SIGNATURE_VALID")
-STRUCTURAL_WORDS = ("NONE", "FRAGMENT", "STRUCTURAL", "COMPLETE", "REJECTED")
-VALIDATION_WORDS = (*CRYPTO_WORDS, "UNVALIDATED", "CHECKSUM_INVALID", "REJECTED", "INSUFFICIENT")
+
+# The closed status vocabulary. Any other word is an error.
+CRYPTO_VALID = (
+    "CRYPTO_VALID", "BASE58CHECK_AND_SECP256K1_VALID", "SECP256K1_VALID", "CHECKSUM_VALID", "BIP39_VALID",
+    "ELECTRUM_SEED_VALID", "ELECTRUM_V1_STRICT_VALID", "ELECTRUM_V1_COMPAT_VALID",
+)
+CRYPTO_INVALID = (
+    "CHECKSUM_INVALID", "PRIVATE_SCALAR_INVALID", "PUBLIC_KEY_MISMATCH", "BIP39_CHECKSUM_INVALID",
+    "ELECTRUM_SEED_VERSION_INVALID", "ELECTRUM_V1_ROUNDTRIP_INVALID",
+)
+STRUCTURAL_VALID = (
+    "BERKELEY_METADATA_STRUCTURAL_VALID", "BITCOIN_RECORD_STRUCTURAL_VALID", "BITCOIN_RECORD_KEY_SIDE_VALID",
+    "ELECTRUM_CONTAINER_STRUCTURAL_VALID", "PROTOBUF_STRUCTURAL_VALID", "ARMORY_HEADER_STRUCTURAL_VALID",
+)
+FRAGMENT_VALID = (
+    "BERKELEY_METADATA_FRAGMENT", "ELECTRUM_CONTAINER_FRAGMENT_VALID", "PROTOBUF_FRAGMENT_VALID", "EXPORT_KEY_FORMAT_VALID",
+    "ENCRYPTED_FRAGMENT", "JAVA_SERIALIZED_WALLET_FRAGMENT", "ARMORY_FRAGMENT_VALID",
+)
+REFUSED = (
+    "BITCOIN_RECORD_KEY_SIDE_REJECTED", "REJECTED", "INSUFFICIENT_PROTOBUF_STRUCTURE", "INSUFFICIENT_EXPORT_STRUCTURE",
+    "INSUFFICIENT_ENCRYPTED_STRUCTURE", "OUT_OF_SCOPE_MULTIBIT_HD", "INSUFFICIENT_JAVA_SERIALIZATION_STRUCTURE",
+    "INSUFFICIENT_ARMORY_STRUCTURE", "BIP39_WORD_COUNT_INVALID", "BIP39_WORD_INVALID", "ELECTRUM_V1_WORD_COUNT_INVALID",
+    "ELECTRUM_V1_WORD_INVALID", "ELECTRUM_V1_INVALID_ENTROPY_LENGTH", "BITCOIN_RECORD_KEY_COMPACTSIZE_INVALID",
+    "BITCOIN_RECORD_PUBKEY_LENGTH_INVALID", "BITCOIN_RECORD_PUBKEY_PREFIX_INVALID",
+)
+STRUCTURAL_WORDS = (
+    "RAW", "UNVALIDATED", "REJECTED", "CANDIDATE", "VALIDATED", "STRONG", "FRAGMENT", "COMPLETE", "STRUCTURAL", "ANCHOR_ONLY",
+    "CONTEXT_ONLY", "NONE", "TRUNCATED", "STRUCTURAL_FRAGMENT", "SERIALIZATION_UNSUPPORTED",
+)
+VALIDATION_WORDS = (*STRUCTURAL_WORDS, *CRYPTO_VALID, *CRYPTO_INVALID, *STRUCTURAL_VALID, *FRAGMENT_VALID, *REFUSED)
+COMPLETENESS_WORDS = ("NONE", "COMPLETE", "FRAGMENT", "TRUNCATED", "STRUCTURAL_FRAGMENT")
+RELEVANCE_WORDS = ("INDEPENDENT", "CONTEXT_REVIEW", "LIKELY_FALSE_POSITIVE", "INDEPENDENT_CANDIDATE", "LIKELY_WORDLIST_FALSE_POSITIVE")
+#: Statuses that prove a hit by its checksum or curve, whatever its target; the last one does so for secrets only.
+PROVEN, PROVEN_SECRET = ("BASE58CHECK_AND_SECP256K1_VALID", "ELECTRUM_SEED_VALID", "ELECTRUM_V1_STRICT_VALID", "BIP39_VALID"), "SECP256K1_VALID"
+#: Kinds that are context, and kinds that are secrets.
+CONTEXT_KINDS = ("bitcoin_address", "bitcoin_public_key")
+SECRET_KINDS = ("mnemonic", "wif_private_key", "ec_private_key_der", "private_key")
 
 
 def checked(word: Column, vocabulary: tuple[str, ...]) -> Column:
@@ -31,14 +66,17 @@ def conflicts(df: DataFrame, keys: list[str], payload: Column) -> DataFrame:
 
 
 def strength(target: Column, structural: Column, validation: Column) -> Column:
-    """Rank of a hit's evidence in STRENGTHS; the first rule that holds counts."""
-    refused = F.concat_ws(" ", validation, structural).rlike("REJECTED|INVALID|INSUFFICIENT|OUT_OF_SCOPE")
+    """Rank of a hit's evidence in STRENGTHS; the first rule that holds counts.
+
+    A refusal counts where the validation says so; a refused structure alone makes nothing but weak evidence.
+    """
+    v, s = F.upper(validation), F.upper(structural)
     return (
-        F.when(validation.isin(*CRYPTO_WORDS), 3)
-        .when(refused, 0)
-        .when(structural.isin("STRUCTURAL", "COMPLETE") & (validation != "UNVALIDATED"), 2)
-        .when(structural == "FRAGMENT", 1)
-        .when(target == "unknown", 1)
+        F.when(v.isin(*PROVEN) | ((v == PROVEN_SECRET) & (target == "secrets")), 3)
+        .when(v.isin(*STRUCTURAL_VALID), 2)
+        .when(v.rlike("REJECTED|INVALID|INSUFFICIENT|OUT_OF_SCOPE"), 0)
+        .when(s.isin("STRONG", "STRUCTURAL", "COMPLETE") & (v != "UNVALIDATED"), 2)
+        .when((s == "FRAGMENT") | (target == "unknown"), 1)
         .otherwise(0)
     )
 
@@ -61,16 +99,44 @@ def reasons(hits: Column, types: Column, strongest: Column, known: Column, pairs
     return F.array_compact(F.array(*(F.when(c, r) for c, r in found)))
 
 
-def state(structural: Column, validation: Column, context: Column) -> Column:
-    """The four axes of a finding's public state, as a struct."""
-    refused = (validation == "REJECTED") | (structural == "REJECTED")
-    valid = validation.isin(*CRYPTO_WORDS)
-    return F.struct(
-        F.when(refused, "REJECTED").when(valid | structural.isin("STRUCTURAL", "COMPLETE"), "ACCEPTED").when(structural == "FRAGMENT", "CANDIDATE").otherwise("RAW").alias("discovery"),
-        F.when(context, "NONE").when(structural.isin("STRUCTURAL", "COMPLETE"), "COMPLETE").when(structural == "FRAGMENT", "FRAGMENT").otherwise("NONE").alias("structure"),
-        F.when(valid, "VALID").when(validation == "CHECKSUM_INVALID", "INVALID").when(validation == "UNVALIDATED", "UNCHECKED").otherwise("NOT_APPLICABLE").alias("crypto"),
-        F.when(context, "CONTEXT_REVIEW").when(refused, "LIKELY_FALSE_POSITIVE").otherwise("INDEPENDENT").alias("relevance"),
-    )
+def state(structural: Column, validation: Column, kind: Column, completeness: Column | None = None, relevance: Column | None = None) -> Column:
+    """The four axes of a finding's public state, as a struct.
+
+    STRUCTURAL says that evidence is confirmed, not that an artifact is whole. What is raw, a candidate or
+    rejected is for review in its context. ``relevance`` is an earlier verdict and, where it is not null,
+    stands. Words outside the vocabulary are errors.
+    """
+    s, v = checked(F.upper(structural), STRUCTURAL_WORDS), checked(F.upper(validation), VALIDATION_WORDS)
+    whole = checked(F.upper(completeness), COMPLETENESS_WORDS) if completeness is not None else F.lit("NONE")
+    kind = F.lower(F.coalesce(kind, F.lit("")))
+    context = kind.isin(*CONTEXT_KINDS) | (s == "CONTEXT_ONLY")
+    parts = ("FRAGMENT", "TRUNCATED", "STRUCTURAL_FRAGMENT")
+    complete = s.isin("COMPLETE", "STRONG") | (whole == "COMPLETE") | (v == "ELECTRUM_CONTAINER_STRUCTURAL_VALID")
+    fragment = s.isin("STRUCTURAL", *parts) | v.isin("TRUNCATED", "FRAGMENT", *FRAGMENT_VALID) | whole.isin(*parts)
+    structure = F.when(context, "NONE").when(complete, "COMPLETE").when(fragment, "FRAGMENT").otherwise("NONE")
+    unproven = s.isin("RAW", "UNVALIDATED", "ANCHOR_ONLY") & ~kind.isin(*SECRET_KINDS)
+    crypto = F.when(v.isin(*CRYPTO_VALID), "VALID").when(v.isin(*CRYPTO_INVALID), "INVALID").when(context | unproven, "NOT_APPLICABLE").otherwise("UNCHECKED")
+    refused = (s == "REJECTED") | v.isin(*REFUSED, *CRYPTO_INVALID)
+    accepted = s.isin("COMPLETE", "STRONG", "VALIDATED", "STRUCTURAL") | v.isin("VALIDATED", *CRYPTO_VALID, *STRUCTURAL_VALID) | (whole == "COMPLETE")
+    candidate = (structure != "NONE") | (s == "CANDIDATE") | (v == "CANDIDATE")
+    discovery = F.when(refused, "REJECTED").when(accepted, "ACCEPTED").when(candidate, "CANDIDATE").otherwise("RAW")
+    own = F.when(context | (discovery != "ACCEPTED"), "CONTEXT_REVIEW").otherwise("INDEPENDENT")
+    if relevance is not None:
+        named = F.when(relevance == "INDEPENDENT_CANDIDATE", "INDEPENDENT").when(relevance == "LIKELY_WORDLIST_FALSE_POSITIVE", "LIKELY_FALSE_POSITIVE").otherwise(checked(relevance, RELEVANCE_WORDS))
+        own = F.when(relevance.isNull(), own).otherwise(named)
+    return F.struct(discovery.alias("discovery"), structure.alias("structure"), crypto.alias("crypto"), own.alias("relevance"))
+
+
+def admitted(hits: DataFrame, keys: list[str], gap: int, width: int) -> DataFrame:
+    """``hits(keys, start, end, signature, target, rank)`` that are admitted.
+
+    A hit that corroborates or says more, or whose target is unknown, always is. Weak ones are clustered
+    among themselves, by starts at most ``gap`` apart, and a cluster counts if it has two kinds.
+    """
+    always = (F.col("rank") >= 1) | (F.col("target") == "unknown")
+    weak = islands(hits.where(~always), keys, gap, "start", width, ("start", "end", "signature"))
+    backed = weak.groupBy(*keys, "island").agg(F.countDistinct("signature").alias("kinds")).where("kinds >= 2")
+    return hits.where(always).unionByName(weak.join(backed, [*keys, "island"], "left_semi").select(hits.columns))
 
 
 def resolved(structural: Column, fragments: Column, rejected: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 
 def reciprocal_links(pages: DataFrame, keys: list[str]) -> DataFrame:
     """``pages(keys, page, next, prev)`` with the state of the link to the next page; 0 links to nothing.
@@ -22,42 +26,52 @@ def reciprocal_links(pages: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on, "left").select("a.*", status.alias("link"))
 
 
-def ancestors(nodes: DataFrame, hops: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame, hops: int = 255) -> DataFrame:
     """``nodes(node, parent, name, wanted)``: path, hops and state of every wanted node, root first.
 
-    Follows parents by repeated joins, one for each level and at most ``hops``; a null parent is a root.
-    The state is complete, missing (a parent is not there) or cycle.
+    Follows parents by repeated joins, one for each level; a null parent is a root. The state is complete,
+    missing (a parent is not there), cycle, or too_deep for what has more than ``hops`` levels above it. Each
+    level is stored, so that it is computed once and the plan doesn't grow.
     """
     up = nodes.select(F.col("node").alias("_node"), F.col("parent").alias("_parent"), F.col("name").alias("_name"))
     at = nodes.where("wanted").select("node", F.col("parent").alias("next"), F.array("node").alias("seen"), F.array("name").alias("path"))
-    done = None
-    for _ in range(hops):
-        finished = at.where("next IS NULL OR array_contains(seen, next)").select(
-            "node", F.reverse("path").alias("path"), F.when(F.col("next").isNull(), "complete").otherwise("cycle").alias("state")
-        )
-        done = finished if done is None else done.unionByName(finished)
-        at = at.where("next IS NOT NULL AND NOT array_contains(seen, next)").join(up, F.col("next") == F.col("_node"), "left")
-        lost = at.where("_node IS NULL").select("node", F.reverse("path").alias("path"), F.lit("missing").alias("state"))
-        done = done.unionByName(lost)
-        at = at.where("_node IS NOT NULL").select("node", F.col("_parent").alias("next"), F.concat("seen", F.array("_node")).alias("seen"), F.concat("path", F.array("_name")).alias("path"))
-        if at.isEmpty():
+    state = F.when(F.col("next").isNull(), "complete").when(F.array_contains("seen", F.col("next")), "cycle").when(F.col("lost"), "missing")
+    done = []
+    at = at.withColumn("lost", F.lit(False))
+    for level in range(hops + 1):
+        at = materialize(at.withColumn("state", state), "ancestors")
+        done.append(at.where("state IS NOT NULL").select("node", F.reverse("path").alias("path"), "state"))
+        on = at.where("state IS NULL")
+        if on.isEmpty():
+            break
+        if level == hops:
+            done.append(on.select("node", F.reverse("path").alias("path"), F.lit("too_deep").alias("state")))
             break
-    return done.withColumn("hops", F.size("path") - 1)
+        found = on.join(up, F.col("next") == F.col("_node"), "left")
+        there = F.col("_node").isNotNull()
+        at = found.select(
+            "node", F.when(there, F.col("_parent")).otherwise(F.col("next")).alias("next"), F.when(there, F.concat("seen", F.array("_node"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(there, F.concat("path", F.array("_name"))).otherwise(F.col("path")).alias("path"), (~there).alias("lost"),
+        )
+    return reduce(DataFrame.unionByName, done).withColumn("hops", F.size("path") - 1)
 
 
 def tree(edges: DataFrame, roots: DataFrame, depth: int = 255) -> DataFrame:
     """Pages reached from ``roots(tree, page)`` along ``edges(parent, child)``: tree, page, level and number of parents.
 
-    Level by level, each level once joined to the edges; a page that is reached again is not followed, so
-    cycles end. A page with more than one parent in a tree is an error of its own, shown by ``parents``.
+    Level by level, each level once joined to the edges and stored; a page that is reached again is not
+    followed, so cycles end. A page with more than one parent in a tree is an error of its own, shown by
+    ``parents``. What lies below ``depth`` is an error: a tree that deep is no tree of pages.
     """
-    seen = roots.select("tree", "page", F.lit(0).alias("level"))
-    front = seen
-    for level in range(1, depth + 1):
+    front = materialize(roots.select("tree", "page", F.lit(0).alias("level")).distinct(), "tree")
+    seen = front
+    for level in range(1, depth + 2):
         front = front.join(edges, front["page"] == edges["parent"]).select("tree", F.col("child").alias("page")).distinct()
-        front = front.join(seen, ["tree", "page"], "left_anti").withColumn("level", F.lit(level))
+        front = materialize(front.join(seen, ["tree", "page"], "left_anti").withColumn("level", F.lit(level)), "tree")
         if front.isEmpty():
             break
+        if level > depth:
+            raise ValueError(f"a tree has more than {depth} levels")
         seen = seen.unionByName(front)
     inside = edges.join(seen.select("tree", F.col("page").alias("parent")), "parent").groupBy("tree", F.col("child").alias("page")).agg(F.countDistinct("parent").alias("parents"))
     return seen.join(inside, ["tree", "page"], "left").withColumn("parents", F.coalesce("parents", F.lit(0)))

@@ -338,21 +338,6 @@ def customer_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(nodes).select("node", F.array_join("path", "/").alias("path"), "state", F.col("hops").cast("long").alias("hops"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS parent, 500 + l_suppkey AS child FROM lineitem UNION SELECT 500 + s_suppkey, 10000 + s_nationkey FROM supplier),
-t AS (SELECT DISTINCT p_partkey AS tree, p_partkey AS page, 0 AS level FROM part WHERE p_partkey < 40
-      UNION SELECT t.tree, e.child, t.level + 1 FROM t JOIN e ON e.parent = t.page),
-m AS (SELECT tree, page, min(level) AS level FROM t GROUP BY tree, page)
-SELECT m.tree, m.page, m.level::BIGINT AS level, (SELECT count(DISTINCT e.parent) FROM e JOIN m q ON q.page = e.parent AND q.tree = m.tree WHERE e.child = m.page)::BIGINT AS parents FROM m""")
-def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees of the parts below 40, their suppliers and nations: level and number of parents of each page. ``part_tree_all`` has every part."""
-    l = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("parent"), (F.col("l_suppkey") + 500).alias("child"))
-    s = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 500).alias("parent"), (F.col("s_nationkey") + 10000).cast("long").alias("child"))
-    edges = l.unionByName(s).distinct()
-    roots = read(spark, sf_dir, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("tree"), F.col("p_partkey").alias("page")).distinct()
-    return graph.tree(edges, roots).select("tree", "page", F.col("level").cast("long").alias("level"), "parents")
-
-
 @query("""
 SELECT DISTINCT 'p' || p_partkey AS tree, 'p' || p_partkey AS page, 0::BIGINT AS level, 0::BIGINT AS parents FROM part
 UNION ALL SELECT DISTINCT 'p' || p_partkey, 's' || l_suppkey, 1, 1 FROM part JOIN lineitem ON l_partkey = p_partkey
@@ -370,7 +355,7 @@ def part_tree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- findings: dedup, policy, roll-ups -------------------------------------------------------------
 
 STATUS_SQL = """f AS (SELECT *, CASE l_returnflag WHEN 'R' THEN 'REJECTED' WHEN 'A' THEN 'STRUCTURAL' ELSE 'FRAGMENT' END AS structural,
-    CASE WHEN l_linestatus = 'O' THEN 'UNVALIDATED' WHEN l_linenumber % 4 = 0 THEN 'CHECKSUM_INVALID' WHEN l_linenumber % 4 = 1 THEN 'CHECKSUM_VALID' ELSE 'INSUFFICIENT' END AS validation,
+    CASE WHEN l_linestatus = 'O' THEN 'UNVALIDATED' WHEN l_linenumber % 4 = 0 THEN 'CHECKSUM_INVALID' WHEN l_linenumber % 4 = 1 THEN 'CHECKSUM_VALID' ELSE 'INSUFFICIENT_EXPORT_STRUCTURE' END AS validation,
     'supplier-' || (l_suppkey % 5) AS target, l_linenumber % 3 AS kind FROM lineitem)"""
 
 
@@ -378,7 +363,7 @@ def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines read as findings, with words of the status vocabulary."""
     flag, line = F.col("l_returnflag"), F.col("l_linenumber")
     structural = F.when(flag == "R", "REJECTED").when(flag == "A", "STRUCTURAL").otherwise("FRAGMENT")
-    validation = F.when(F.col("l_linestatus") == "O", "UNVALIDATED").when(line % 4 == 0, "CHECKSUM_INVALID").when(line % 4 == 1, "CHECKSUM_VALID").otherwise("INSUFFICIENT")
+    validation = F.when(F.col("l_linestatus") == "O", "UNVALIDATED").when(line % 4 == 0, "CHECKSUM_INVALID").when(line % 4 == 1, "CHECKSUM_VALID").otherwise("INSUFFICIENT_EXPORT_STRUCTURE")
     return read(spark, sf_dir, "lineitem").withColumns({
         "structural": findings.checked(structural, findings.STRUCTURAL_WORDS), "validation": findings.checked(validation, findings.VALIDATION_WORDS),
         "target": F.concat(F.lit("supplier-"), (F.col("l_suppkey") % 5).cast("string")), "kind": line % 3,
@@ -413,19 +398,21 @@ def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {STATUS_SQL},
 g AS (SELECT structural, validation, kind = 2 AS context, count(*) AS n FROM f GROUP BY ALL)
 SELECT structural, validation, context, n,
-    CASE WHEN validation = 'REJECTED' OR structural = 'REJECTED' THEN 'REJECTED' WHEN validation = 'CHECKSUM_VALID' OR structural IN ('STRUCTURAL', 'COMPLETE') THEN 'ACCEPTED' WHEN structural = 'FRAGMENT' THEN 'CANDIDATE' ELSE 'RAW' END AS discovery,
-    CASE WHEN context THEN 'NONE' WHEN structural IN ('STRUCTURAL', 'COMPLETE') THEN 'COMPLETE' WHEN structural = 'FRAGMENT' THEN 'FRAGMENT' ELSE 'NONE' END AS structure,
-    CASE WHEN validation = 'CHECKSUM_VALID' THEN 'VALID' WHEN validation = 'CHECKSUM_INVALID' THEN 'INVALID' WHEN validation = 'UNVALIDATED' THEN 'UNCHECKED' ELSE 'NOT_APPLICABLE' END AS crypto,
-    CASE WHEN context THEN 'CONTEXT_REVIEW' WHEN validation = 'REJECTED' OR structural = 'REJECTED' THEN 'LIKELY_FALSE_POSITIVE' ELSE 'INDEPENDENT' END AS relevance FROM g""")
+    CASE WHEN structural = 'REJECTED' OR validation IN ('CHECKSUM_INVALID', 'INSUFFICIENT_EXPORT_STRUCTURE') THEN 'REJECTED' WHEN validation = 'CHECKSUM_VALID' OR structural = 'STRUCTURAL' THEN 'ACCEPTED'
+         WHEN structural = 'FRAGMENT' AND NOT context THEN 'CANDIDATE' ELSE 'RAW' END AS discovery,
+    CASE WHEN context OR structural = 'REJECTED' THEN 'NONE' ELSE 'FRAGMENT' END AS structure,
+    CASE WHEN validation = 'CHECKSUM_VALID' THEN 'VALID' WHEN validation = 'CHECKSUM_INVALID' THEN 'INVALID' WHEN context THEN 'NOT_APPLICABLE' ELSE 'UNCHECKED' END AS crypto,
+    CASE WHEN context OR structural = 'REJECTED' OR validation IN ('CHECKSUM_INVALID', 'INSUFFICIENT_EXPORT_STRUCTURE') OR (validation <> 'CHECKSUM_VALID' AND structural <> 'STRUCTURAL') THEN 'CONTEXT_REVIEW' ELSE 'INDEPENDENT' END AS relevance FROM g""")
 def finding_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four axes of public state for each combination of statuses."""
+    """The four axes of public state for each combination of statuses; kind 2 is a mere address."""
     g = line_findings(spark, sf_dir).groupBy("structural", "validation", (F.col("kind") == 2).alias("context")).agg(F.count("*").alias("n"))
-    return g.withColumn("state", findings.state(F.col("structural"), F.col("validation"), F.col("context"))).select("structural", "validation", "context", "n", "state.*")
+    kind = F.when(F.col("context"), "bitcoin_address").otherwise("mnemonic")
+    return g.withColumn("state", findings.state(F.col("structural"), F.col("validation"), kind)).select("structural", "validation", "context", "n", "state.*")
 
 
 @query(f"""
 WITH {STATUS_SQL},
-s AS (SELECT *, CASE WHEN validation = 'CHECKSUM_VALID' THEN 3 WHEN validation IN ('CHECKSUM_INVALID', 'INSUFFICIENT') OR structural = 'REJECTED' THEN 0
+s AS (SELECT *, CASE WHEN validation IN ('CHECKSUM_INVALID', 'INSUFFICIENT_EXPORT_STRUCTURE') THEN 0
     WHEN structural = 'STRUCTURAL' AND validation <> 'UNVALIDATED' THEN 2 WHEN structural = 'FRAGMENT' THEN 1 ELSE 0 END AS strength FROM f),
 g AS (SELECT l_orderkey, count(*) AS hits, count(DISTINCT kind) AS types, max(strength) AS strongest, count(DISTINCT (kind, l_returnflag)) AS pairs, max(l_linenumber) - min(l_linenumber) AS span, bool_or(kind = 1) AS required FROM s GROUP BY l_orderkey)
 SELECT l_orderkey, hits, strongest::BIGINT AS strongest, array_to_string(list_filter([CASE WHEN strongest < 2 AND hits < 2 THEN 'insufficient_hits' END, CASE WHEN strongest < 2 AND types < 2 THEN 'insufficient_distinct_types' END,
@@ -555,18 +542,22 @@ def documents_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.windows(documents_token_runs(spark, sf_dir), "doc_id", 4, 6)
 
 
+#: What the byte patterns are evidence of, and how strong: (target, rank in STRENGTHS).
+ADMISSION = {"at_sign": ("secrets", 0), "license": ("unknown", 1), "of_the": ("electrum", 0), "und_d": ("electrum", 0), "de_la": ("bitcoin", 1)}
+
+
 @query(f"""
 WITH {SIGNATURE_SQL},
-f AS (SELECT *, CASE WHEN start - lag(start) OVER w > 2048 THEN 1 ELSE 0 END AS cut FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start, end_)),
-i AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS island FROM f),
+w AS (SELECT * FROM s WHERE signature NOT IN ('license', 'de_la')),
+f AS (SELECT *, CASE WHEN start - lag(start) OVER w1 > 2048 THEN 1 ELSE 0 END AS cut FROM w WINDOW w1 AS (PARTITION BY doc_id ORDER BY start, end_, signature)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY start, end_, signature ROWS UNBOUNDED PRECEDING) AS island FROM f),
 k AS (SELECT doc_id, island FROM i GROUP BY ALL HAVING count(DISTINCT signature) >= 2)
-SELECT i.doc_id, signature, start FROM i JOIN k ON i.doc_id = k.doc_id AND i.island = k.island""")
+SELECT i.doc_id, signature, start FROM i JOIN k ON i.doc_id = k.doc_id AND i.island = k.island UNION ALL SELECT doc_id, signature, start FROM s WHERE signature IN ('license', 'de_la')""")
 def documents_weak_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak hits that another kind of hit backs within a cluster."""
-    hits = documents_signatures(spark, sf_dir)
-    found = intervals.islands(hits, ["doc_id"], 2048, "start", 1 << 20)
-    backed = found.groupBy("doc_id", "island").agg(F.countDistinct("signature").alias("kinds")).where("kinds >= 2")
-    return found.join(backed, ["doc_id", "island"], "left_semi").select("doc_id", "signature", "start")
+    """Hits that are admitted: all that corroborate or say more, or whose target is unknown, and weak ones that another kind of weak hit backs within a cluster."""
+    names = F.create_map(*(F.lit(x) for n, (target, rank) in ADMISSION.items() for x in (n, target))), F.create_map(*(F.lit(x) for n, (target, rank) in ADMISSION.items() for x in (n, rank)))
+    hits = documents_signatures(spark, sf_dir).withColumns({"target": names[0][F.col("signature")], "rank": names[1][F.col("signature")]})
+    return findings.admitted(hits, ["doc_id"], 2048, 1 << 20).select("doc_id", "signature", "start")
 
 
 @query("""
@@ -688,25 +679,6 @@ def customer_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("used", used).select("c_custkey", "clusters", "used", state.alias("state"))
 
 
-@query("""
-WITH k AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_linenumber FROM lineitem),
-c AS (SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, b.l_orderkey AS other,
-    CASE WHEN a.l_suppkey = b.l_suppkey AND a.l_quantity = b.l_quantity THEN 0 WHEN a.l_suppkey = b.l_suppkey THEN 1 WHEN a.l_quantity = b.l_quantity THEN 2 ELSE 3 END AS rank
-    FROM k a JOIN k b ON a.l_partkey = b.l_partkey AND b.l_linenumber = 1 AND a.l_linenumber = 2 AND a.l_orderkey <> b.l_orderkey),
-d AS (SELECT l_orderkey, l_linenumber, l_partkey, min(rank) AS rank FROM c GROUP BY ALL)
-SELECT l_orderkey, l_partkey, ['BYTE_IDENTICAL', 'STRUCTURALLY_SIMILAR', 'SIZE_MATCH_ONLY', 'NO_MATCH'][rank + 1] AS class FROM d""")
-def fingerprint_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closest class of match of each second line with first lines of the same part. ``fingerprint_compare_all`` compares all lines."""
-    k = read(spark, sf_dir, "lineitem")
-    a = k.where("l_linenumber = 2").select("l_partkey", "l_orderkey", "l_suppkey", "l_quantity")
-    b = k.where("l_linenumber = 1").select("l_partkey", F.col("l_orderkey").alias("other"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"))
-    same, size = F.col("l_suppkey") == F.col("s"), F.col("l_quantity") == F.col("q")
-    rank = F.when(same & size, 0).when(same, 1).when(size, 2).otherwise(3)
-    d = a.join(b, "l_partkey").where("l_orderkey <> other").groupBy("l_orderkey", "l_partkey").agg(F.min(rank).alias("rank"))
-    names = F.array(*map(F.lit, ("BYTE_IDENTICAL", "STRUCTURALLY_SIMILAR", "SIZE_MATCH_ONLY", "NO_MATCH")))
-    return d.select("l_orderkey", "l_partkey", F.element_at(names, F.col("rank") + 1).alias("class"))
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey,
     CASE WHEN EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey AND b.l_quantity = a.l_quantity AND b.l_orderkey <> a.l_orderkey) THEN 'BYTE_IDENTICAL'
@@ -726,3 +698,6 @@ def fingerprint_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.join(shared, keys, "left")
     named = F.when(F.col("same"), "BYTE_IDENTICAL").when(F.col("similar"), "STRUCTURALLY_SIMILAR").when(F.col("size"), "SIZE_MATCH_ONLY").otherwise("NO_MATCH")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", named.alias("class"))
+
+
+from . import evidence  # noqa: E402, F401  (registers its queries)
