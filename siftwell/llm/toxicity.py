@@ -26,8 +26,8 @@ from .common import table, text_batches
 BUCKETS, LEAST, FACTORS = 1 << 18, 5, 8
 #: Lengths of the beginnings of words that are terms too.
 PREFIXES = (4, 5)
-#: Rows that the machine is fitted on, at most: a sample by hash of doc_id. Passes over them, rows in a step, step, weight decay.
-MOST_ROWS, PASSES, BATCH, STEP, DECAY = 20_000, 60, 256, 0.02, 1e-5
+#: Rows that the machine is fitted on, at most: a sample by hash of doc_id. Steps, and the most passes that they may be; rows in a step, step, weight decay.
+MOST_ROWS, STEPS, PASSES, BATCH, STEP, DECAY = 20_000, 1500, 60, 256, 0.03, 1e-5
 #: Labels are broadcast up to so many rows (an id and a number each, so below 64 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 #: Standard deviation of the vectors' first values; z from which an input takes whole steps, and the share of a step that any input takes.
@@ -70,10 +70,10 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(y, -40, 40))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, pace: np.ndarray | None = None, seed: int = 7) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, pace: np.ndarray | None = None, seed: int = 7, consume: bool = False) -> Machine:
     """Fit on ``rows`` of distinct input numbers by Adam on the logistic loss; the same rows give the same machine.
 
-    ``pace`` is each input's share of the step, one if not given. A step updates the inputs of its rows
+    With ``consume``, ``rows`` is emptied as the batches are made, so that its numbers are held once. ``pace`` is each input's share of the step, one if not given. A step updates the inputs of its rows
     only, with the moments that they had when last seen.
     """
     n, rng = max(1, int(inputs.max(initial=-1)) + 1), np.random.default_rng(seed)
@@ -83,9 +83,14 @@ def train(rows: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, pace:
     theta = np.column_stack([np.zeros(n), rng.normal(0, SPREAD, (n, FACTORS))]).astype(np.float32)
     bias = float(np.log(rate / (1 - rate)))
     m, s, mb, sb, step = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
-    order = rng.permutation(len(rows))
-    batches = [_batch([rows[j] for j in part], labels[part]) for part in (order[a : a + BATCH] for a in range(0, len(order), BATCH))]
-    for _ in range(PASSES if len(set(labels.tolist())) > 1 else 0):
+    order, batches = rng.permutation(len(rows)), []
+    for a in range(0, len(order), BATCH):
+        part = order[a : a + BATCH]
+        batches.append(_batch([rows[j] for j in part], labels[part]))
+        for j in part if consume else ():
+            rows[j] = None
+    passes = min(PASSES, -(-STEPS // max(1, len(batches))))
+    for _ in range(passes if len(set(labels.tolist())) > 1 else 0):
         for b in rng.permutation(len(batches)):
             y0, full, starts, used, at, of, firsts = batches[b]
             now = theta[used]
@@ -114,9 +119,10 @@ def _batch(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, ...]
     """Labels; which rows have inputs and where these begin; the distinct inputs; each element's place among them; the elements' rows by input, and where an input's begin."""
     size = np.array([len(x) for x in rows])
     used, at = np.unique(np.concatenate(rows), return_inverse=True)
-    of = np.repeat(np.arange(len(rows), dtype=np.int32), size)[np.argsort(at, kind="stable")]
+    # a batch has at most 256 rows, and mostly fewer distinct inputs than two bytes count
+    of = np.repeat(np.arange(len(rows)).astype(np.uint8 if len(rows) <= 256 else np.int32), size)[np.argsort(at, kind="stable")]
     firsts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(used)))[:-1]]).astype(np.int64)
-    return labels, size > 0, (np.cumsum(size) - size)[size > 0], used, at.astype(np.int32), of, firsts
+    return labels, size > 0, (np.cumsum(size) - size)[size > 0], used.astype(np.int32), at.astype(np.uint16 if len(used) <= 1 << 16 else np.int32), of, firsts
 
 
 def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,8 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     pace = np.clip((z / TELLING) ** 2, SLOWEST, 1) if len(seen) else None
     rate = min(1.0, MOST_ROWS / (clean + toxic))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    rows = sorted(sample.mapInPandas(_rows(inputs), "doc_id long, toxic int, x binary").collect())
-    return train([np.frombuffer(r.x, np.int32) for r in rows], np.array([r.toxic for r in rows], float), inputs, pace)
+    rows = sample.mapInPandas(_rows(inputs), "doc_id long, toxic int, x binary").toPandas().sort_values(["doc_id", "toxic", "x"])
+    toxic_, x = rows["toxic"].to_numpy(float), [np.frombuffer(v, np.int32) for v in rows["x"]]
+    del rows
+    return train(x, toxic_, inputs, pace, consume=True)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
