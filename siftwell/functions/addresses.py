@@ -17,10 +17,11 @@ BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 BECH32_STEPS = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 P = 2**256 - 2**32 - 977
+#: What is proposed; a checksum or the curve decides. Lengths are the formats' own: 25 bytes in Base58 with four more at most, 6 to 87 characters after the separator, 33 or 65 bytes in hexadecimal.
 SHAPES = {
-    "base58": r"(?<![1-9A-HJ-NP-Za-km-z])[13][1-9A-HJ-NP-Za-km-z]{25,34}(?![1-9A-HJ-NP-Za-km-z])",
-    "bech32": r"(?<![0-9A-Za-z])bc1[02-9ac-hj-np-z]{11,71}(?![0-9A-Za-z])",
-    "sec_hex": r"(?<![0-9A-Fa-f])(?:0[23][0-9A-Fa-f]{64}|04[0-9A-Fa-f]{128})(?![0-9A-Fa-f])",
+    "base58": f"(?<![{BASE58}])[13][{BASE58}]{{25,34}}(?![{BASE58}])",
+    "bech32": f"(?<![0-9A-Za-z])[bB][cC]1[{BECH32}{BECH32.upper()}]{{6,87}}(?![0-9A-Za-z])",
+    "sec_hex": r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{130}|[0-9A-Fa-f]{66})(?![0-9A-Fa-f])",
 }
 
 
@@ -38,7 +39,10 @@ def base58check(text: str) -> bytes | None:
 
 
 def bech32(text: str) -> str:
-    """bech32 or bech32m by the checksum's constant, or invalid."""
+    """bech32 or bech32m by the checksum's constant, or invalid; one case throughout, lower or upper."""
+    if text not in (text.lower(), text.upper()) or len(text) < 14:
+        return "invalid"
+    text = text.lower()
     values = [BECH32.find(c) for c in text[3:]]
     if min(values) < 0:
         return "invalid"
@@ -81,10 +85,15 @@ def _confirmed(kind: pd.Series, found: pd.Series) -> pd.Series:
 
 
 def find(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """Shapes in ``rows``: key, kind, state, fingerprint. Texts without a shape never reach Python."""
+    """Shapes in ``rows``: key, kind, start, end, state, fingerprint; places count bytes. Texts without a shape never reach Python."""
     def tagged(kind: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(SHAPES[kind]), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
-
-    shapes = F.flatten(F.array(*map(tagged, SHAPES)))
-    found = rows.select(key, F.explode(shapes).alias("x")).select(key, "x.*")
-    return found.select(key, "kind", _confirmed("kind", "found").alias("state"), F.sha2(F.concat(F.lit("shape:"), "found").cast("binary"), 256).alias("fingerprint"))
+        pattern = SHAPES[kind]
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.octet_length(g))
+        pieces = F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gap")), lambda x: F.struct(x["found"].alias("found"), x["gap"].alias("gap"), F.coalesce(F.octet_length(x["found"]), F.lit(0)).alias("size")))
+        return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), pieces.alias("pieces")))
+
+    shapes = rows.select(key, F.explode(F.array_compact(F.array(*map(tagged, SHAPES)))).alias("x")).select(key, "x.kind", "x.pieces")
+    each = shapes.select(key, "kind", "pieces", F.posexplode("pieces").alias("i", "x")).where("x.found IS NOT NULL")
+    start = F.aggregate(F.slice("pieces", F.lit(1), F.col("i")), F.lit(0), lambda n, x: n + x["gap"] + x["size"]) + F.col("x.gap")
+    found = each.select(key, "kind", start.alias("start"), (start + F.col("x.size")).alias("end"), F.col("x.found").alias("found"))
+    return found.select(key, "kind", "start", "end", _confirmed("kind", "found").alias("state"), F.sha2(F.concat(F.lit("shape:"), "found").cast("binary"), 256).alias("fingerprint"))

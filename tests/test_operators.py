@@ -113,3 +113,64 @@ def test_signatures_overlap_and_count_bytes(spark):
     rows = [(1, "aaa"), (2, "éaa€aa"), (3, None), (4, ""), (5, "x.*y"), (6, "aXa")]
     got = text.signatures(spark.createDataFrame(rows, "k long, t string"), "k", "t", [("aa", "aa"), ("dot", ".*")]).collect()
     assert sorted(map(tuple, got)) == [(1, "aa", 0, 2), (1, "aa", 1, 3), (2, "aa", 2, 4), (2, "aa", 7, 9), (5, "dot", 1, 3)]
+
+
+def test_null_lines_stay(spark):
+    df = spark.createDataFrame([(None, 0, 5), (None, 3, 9), ("a", 0, 1)], "line string, start long, end long")
+    got = intervals.islands(df, ["line"], 1, "start", 4).select("line", "start", "island").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 0, 0), (None, 3, 1), ("a", 0, 0)]))
+    got = {r.line: (r.units, r.overlaps) for r in intervals.coverage(df, ["line"], F.lit(0), F.lit(9), 4).collect()}
+    assert got == {None: (2, 1), "a": (1, 0)}
+
+
+def test_bad_bounds_raise(spark):
+    good = spark.createDataFrame([("a", 0, 5)], "line string, start long, end long")
+    for a, b in ((5, 4), (-1, 3)):
+        bad = spark.createDataFrame([("a", a, b)], "line string, start long, end long")
+        with pytest.raises(Exception, match="bad interval"):
+            intervals.overlapping(good, bad, ["line"], 4, F.lit(True)).collect()
+
+
+def test_deep_paths_and_trees(spark):
+    n = 30
+    nodes = [(i, i - 1 if i else None, str(i), i == n) for i in range(n + 1)]
+    frame = spark.createDataFrame(nodes, "node long, parent long, name string, wanted boolean")
+    assert [(r.hops, r.state) for r in graph.ancestors(frame).collect()] == [(n, "complete")]
+    assert [(r.hops, r.state) for r in graph.ancestors(frame, 3).collect()] == [(3, "too_deep")]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "parent long, child long")
+    assert graph.tree(edges, spark.createDataFrame([(1, 0)], "tree long, page long")).count() == n + 1
+
+
+STATES = [
+    # structural, validation, kind, completeness, relevance -> discovery, structure, crypto, relevance
+    (("STRUCTURAL", "UNVALIDATED", "x", "NONE", None), ("ACCEPTED", "FRAGMENT", "UNCHECKED", "INDEPENDENT")),
+    (("COMPLETE", "CHECKSUM_VALID", "mnemonic", "NONE", None), ("ACCEPTED", "COMPLETE", "VALID", "INDEPENDENT")),
+    (("RAW", "UNVALIDATED", "x", "NONE", None), ("RAW", "NONE", "NOT_APPLICABLE", "CONTEXT_REVIEW")),
+    (("RAW", "UNVALIDATED", "mnemonic", "NONE", None), ("RAW", "NONE", "UNCHECKED", "CONTEXT_REVIEW")),
+    (("FRAGMENT", "BIP39_CHECKSUM_INVALID", "mnemonic", "NONE", None), ("REJECTED", "FRAGMENT", "INVALID", "CONTEXT_REVIEW")),
+    (("CONTEXT_ONLY", "CHECKSUM_VALID", "bitcoin_address", "COMPLETE", None), ("ACCEPTED", "NONE", "VALID", "CONTEXT_REVIEW")),
+    (("NONE", "ELECTRUM_CONTAINER_STRUCTURAL_VALID", "x", "NONE", None), ("ACCEPTED", "COMPLETE", "UNCHECKED", "INDEPENDENT")),
+    (("CANDIDATE", "UNVALIDATED", "x", "TRUNCATED", None), ("CANDIDATE", "FRAGMENT", "UNCHECKED", "CONTEXT_REVIEW")),
+    (("COMPLETE", "BIP39_VALID", "mnemonic", "NONE", "LIKELY_WORDLIST_FALSE_POSITIVE"), ("ACCEPTED", "COMPLETE", "VALID", "LIKELY_FALSE_POSITIVE")),
+]
+STRENGTHS = [
+    (("secrets", "NONE", "SECP256K1_VALID"), 3), (("bitcoin", "NONE", "SECP256K1_VALID"), 0), (("bitcoin", "REJECTED", "BIP39_VALID"), 3), (("bitcoin", "REJECTED", "BERKELEY_METADATA_STRUCTURAL_VALID"), 2),
+    (("bitcoin", "STRUCTURAL", "CHECKSUM_INVALID"), 0), (("bitcoin", "STRUCTURAL", "UNVALIDATED"), 0), (("bitcoin", "STRONG", "FRAGMENT"), 2), (("bitcoin", "COMPLETE", "ELECTRUM_V1_COMPAT_VALID"), 2),
+    (("bitcoin", "FRAGMENT", "UNVALIDATED"), 1), (("unknown", "RAW", "UNVALIDATED"), 1), (("bitcoin", "REJECTED", "UNVALIDATED"), 0), (("unknown", "RAW", "REJECTED"), 0),
+]
+
+
+def test_states_and_strengths(spark):
+    rows = spark.createDataFrame([(*a, *b) for a, b in STATES], "s string, v string, k string, c string, r string, d string, t string, y string, l string")
+    got = rows.select(findings.state(F.col("s"), F.col("v"), F.col("k"), F.col("c"), F.col("r")).alias("x"), F.struct("d", "t", "y", "l").alias("want")).collect()
+    assert [tuple(r.x) for r in got] == [tuple(r.want) for r in got]
+    rows = spark.createDataFrame([(*a, b) for a, b in STRENGTHS], "t string, s string, v string, want int")
+    got = rows.select(findings.strength(F.col("t"), F.col("s"), F.col("v")).alias("x"), "want").collect()
+    assert [r.x for r in got] == [r.want for r in got]
+
+
+def test_admission(spark):
+    rows = [("a", 0, 1, "x", "t", 0), ("a", 5, 6, "y", "t", 0), ("a", 100, 101, "x", "t", 0), ("a", 101, 102, "z", "t", 1), ("a", 500, 501, "u", "unknown", 0)]
+    hits = spark.createDataFrame(rows, "line string, start long, end long, signature string, target string, rank int")
+    # a strong hit beside a weak one doesn't back it
+    assert sorted(r.start for r in findings.admitted(hits, ["line"], 10, 64).collect()) == [0, 5, 101, 500]
