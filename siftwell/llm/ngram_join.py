@@ -6,8 +6,9 @@ partner, no member can be one, and the group stays closed. Only groups that pass
 members compared.
 
 1. Documents with the same set of tokens are one node; copies need no comparing.
-2. Min-hash keys gather likely partners; each is compared with the last of its key, which costs one
-   comparison a document however large the gathering. What is linked needs no more comparing.
+2. Min-hash keys gather likely partners; each is compared with the most central of its key, that whose own keys
+   gather most, as an original's do among its copies. That costs one comparison a document however large the
+   gathering. What is linked needs no more comparing.
 3. Every pair that may still be missed shares one of its prefix tokens: with tokens in one order for all,
    rare before frequent, two sets with enough common tokens share s of their first n - ceil(t n) + s. Nodes
    that share such tokens with nodes they aren't linked with are partitioned into groups of similar ones
@@ -224,9 +225,9 @@ def signatures(docs: DataFrame, words: int, percent: int, order: Order) -> DataF
     return docs.select("rid", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, schema)
 
 
-def _compared(words: int, percent: int):
+def _compared(words: int, percent: int, upward: bool):
     def links(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        """Links (a, b) of queries with members of the group whose components are larger; one for each component."""
+        """Links (a, b) of queries with members of the group in other components, larger ones if ``upward``; one for each component."""
         rows = rows.drop_duplicates(["node", "member"])
         node, component, member = rows["node"].to_numpy(), rows["component"].to_numpy(), rows["member"].to_numpy()
         sets = tokens(pa.array(rows["text"], pa.string()), words)
@@ -235,7 +236,7 @@ def _compared(words: int, percent: int):
             x, linked = sets[q], set()
             for m in members:
                 y = sets[m]
-                if component[m] <= component[q] or component[m] in linked or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                if component[m] == component[q] or (upward and component[m] < component[q]) or component[m] in linked or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
@@ -246,10 +247,10 @@ def _compared(words: int, percent: int):
     return links
 
 
-def compare(pairs: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def compare(pairs: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, name: str, upward: bool = True) -> DataFrame:
     """Links among ``pairs(node, group)``: queries to groups, whose members are ``groups(group, node)``.
 
-    ``nodes(node, component, text_key, rid)``: a query is compared with members of larger components.
+    ``nodes(node, component, text_key, rid)``: a query is compared with members of other components, only larger ones if ``upward``.
     A group with many queries is given to several tasks, each with all of its at most GROUP members.
     """
     rows = dealt(pairs, groups).join(nodes.select("node", "component", "text_key", "rid"), "node")
@@ -260,7 +261,7 @@ def compare(pairs: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFra
     w = wanted.alias("w")
     texts = keyed.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.rid").eqNullSafe(F.col("w.rid")), "left_semi").dropDuplicates(["text_key"])
     rows = rows.join(texts.select("text_key", "text"), "text_key").select("group", "chunk", "node", "member", "component", "text")
-    return materialize(grouped_map(rows, ["group", "chunk"], _compared(words, percent), "a long, b long"), name)
+    return materialize(grouped_map(rows, ["group", "chunk"], _compared(words, percent, upward), "a long, b long"), name)
 
 
 def dealt(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -326,13 +327,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     nodes = materialize(sig.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node")), "nodes")
     rows = nodes.select(F.col("node").alias("row"))
     firsts = sig.join(F.broadcast(rows) if nodes.count() <= BROADCAST_ROWS else rows, "row", "left_semi").withColumnRenamed("row", "node")
-    # likely partners: everyone with a key is a query to the last of the key
+    # likely partners: everyone with a key is a query to the most central of the key
     keyed = firsts.select("node", F.posexplode("keys").alias("i", "key"))
-    lasts = keyed.groupBy("i", "key").agg(F.max("node").alias("group"), F.count("*").alias("n")).where("n > 1").drop("n")
-    likely = keyed.join(lasts, ["i", "key"]).where("node < group").select("node", "group").distinct()
-    likely = materialize(likely, "likely")
+    keyed = materialize(keyed.join(keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1"), ["i", "key"]), "keyed")
+    central = keyed.join(keyed.groupBy("node").agg(F.sum("n").alias("gathered")), "node")
+    central = central.groupBy("i", "key").agg(F.max(F.struct("gathered", "node")).alias("c")).select("i", "key", F.col("c.node").alias("group"))
+    likely = materialize(keyed.join(central, ["i", "key"]).where("node <> group").select("node", "group").distinct(), "likely")
     alone = firsts.select("node", F.col("node").alias("component"), "text_key", "rid")
-    links = compare(likely, likely.select("group", F.col("group").alias("node")).distinct(), alone, base, words, percent, "likely-links")
+    links = compare(likely, likely.select("group", F.col("group").alias("node")).distinct(), alone, base, words, percent, "likely-links", upward=False)
     linked = materialize(with_groups(firsts.select("node", "n", "shared", "text_key", "rid"), links), "linked")
     # prefix tokens that nodes of more than one component hold
     held = firsts.select("node", F.posexplode("prefix").alias("at", "token")).join(linked.select("node", "component"), "node")
