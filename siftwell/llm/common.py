@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``spark.checkpoint.dir`` names the folder that the driver and all executors share.
-SHARED = "spark.checkpoint.dir"
+from ..operators.store import materialize, shared_dir
+
+__all__ = ["components", "grouped_map", "materialize", "mixed", "packed", "shared_dir", "shuffle_partitions", "table", "text_batches"]
+
 #: Rows of an Arrow batch between Spark and Python where rows hold whole texts.
 BATCH_ROWS = 1000
 
@@ -35,17 +35,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. Only a local session without one gets a folder of its own."""
-    base = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SHARED} to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def packed(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with its columns but ``used`` in one, whose name no column has, and a function that unpacks them.
 
@@ -60,14 +49,6 @@ def packed(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame]
     return whole, lambda df: df.select(*(F.col(f"`{c}`") if c in used else F.col(f"{name}.`{c}`") for c in docs.columns))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

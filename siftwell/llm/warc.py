@@ -23,8 +23,9 @@ from .common import materialize, shared_dir, table
 
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_BYTES = 100
-#: An archive holds about so many payload bytes.
-ARCHIVE_BYTES = 32 << 20
+#: An archive holds about so many payload bytes. Payloads above LARGE times the mean go to archives of their own kind,
+#: so that no archive is longer than LARGE times that, or than a single record.
+ARCHIVE_BYTES, LARGE = 32 << 20, 16
 #: Repeated payloads are broadcast up to so many (a digest and an id each, so below 100 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Index entries for each range that is merged.
@@ -74,17 +75,29 @@ def write(pages: DataFrame, path: str) -> None:
     the row be repeated) and the others revisit it; rows with a null page_id come last and, where all are
     null, are all responses. A null html is empty; a null url leaves its header out. An empty table
     writes no record. Other columns are ignored.
+
+    What revisits what is decided on ids and digests alone; where these are too many to be broadcast, pages are
+    joined by id and digest, so a payload that very many pages share is no single task.
     """
     sums = materialize(_payloads(pages).select("page_id", "payload_bytes", "payload_digest"), "payloads")
-    mean = sums.agg(F.avg("payload_bytes")).first()[0] or 0
+    mean, longest = sums.agg(F.avg("payload_bytes"), F.max("payload_bytes")).first()
     firsts = sums.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = materialize(firsts.where("n > 1 AND first IS NOT NULL").drop("n"), "firsts")
     if firsts.count() <= BROADCAST_ROWS:
-        firsts = F.broadcast(firsts)
-    records = _payloads(pages).join(firsts, "payload_digest", "left")
+        records = _payloads(pages).join(F.broadcast(firsts), "payload_digest", "left")
+    else:
+        again = sums.join(firsts, "payload_digest").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "first").distinct()
+        p = _payloads(pages)
+        records = p.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_id", "_digest")
     records = records.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    per_file = max(1, int(ARCHIVE_BYTES / max(mean, 100)))
-    records.select(record().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    # one write for the usual payloads, and one for each power of LARGE above the mean that there are larger ones of
+    low, unit = -1, max(int(mean or 0), 100)
+    while low < (longest or 0) or low < 0:
+        high = unit * LARGE if low < 0 else low * LARGE
+        part = records.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+        per_file = max(1, ARCHIVE_BYTES // (unit if low < 0 else low))
+        part.select(record().alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+        low = high
 
 
 def urlkey(url: str | None) -> str | None:

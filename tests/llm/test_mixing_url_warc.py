@@ -127,3 +127,19 @@ def test_loser_tree(k):
     assert [warc._key(x) for x in merged] == sorted(warc._key(x) for one in lists for x in one)
     assert list(warc.LoserTree([])) == []
     assert math.isfinite(len(merged))
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """Large payloads that stand together go to small archives; what many pages share is joined by id where it can't be broadcast."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rows = [(i, f"http://h/{i}", "x" * (i % 7 + 120)) for i in range(400)] + [(1000 + i, "http://h/l", "y" * (60_000 + i // 2)) for i in range(20)] + [(None, None, "z" * 500_000), (5, "http://h/5", "x" * 125)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    results = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        path = str(tmp_path / f"w{most}")
+        warc.write(pages, path)
+        sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / f"w{most}").glob("*.gz")]
+        assert max(sizes) < 510_000 and sorted(sizes)[-2] < 16 * 20_000 + 400 * 600
+        results.append(sorted(map(str, warc.index(spark, path).select("page_id", "payload_bytes", "record_type", "refers_to").collect())))
+    assert results[0] == results[1] and len(results[0]) == len(rows)
