@@ -96,4 +96,6 @@ def find(rows: DataFrame, key: str, text: Column) -> DataFrame:
     each = shapes.select(key, "kind", "pieces", F.posexplode("pieces").alias("i", "x")).where("x.found IS NOT NULL")
     start = F.aggregate(F.slice("pieces", F.lit(1), F.col("i")), F.lit(0), lambda n, x: n + x["gap"] + x["size"]) + F.col("x.gap")
     found = each.select(key, "kind", start.alias("start"), (start + F.col("x.size")).alias("end"), F.col("x.found").alias("found"))
-    return found.select(key, "kind", "start", "end", _confirmed("kind", "found").alias("state"), F.sha2(F.concat(F.lit("shape:"), "found").cast("binary"), 256).alias("fingerprint"))
+    # one address has one fingerprint, whatever its case where case says nothing
+    one = F.when(F.col("kind") == "base58", F.col("found")).otherwise(F.lower("found"))
+    return found.select(key, "kind", "start", "end", _confirmed("kind", "found").alias("state"), F.sha2(F.concat(F.lit("shape:"), one).cast("binary"), 256).alias("fingerprint"))

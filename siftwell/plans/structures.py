@@ -190,3 +190,44 @@ def private_key_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = found.select(F.lit(name).alias("source"), "state", "shapes", "distinct_valid")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# --- reports -----------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS status, CASE WHEN l_quantity > 25 THEN l_quantity END AS size FROM lineitem")
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings written as a report and read back as a source."""
+    from ..operators.store import shared_dir
+    from ..sources import reports
+
+    l = read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "status"}).withColumn("size", F.when(F.col("l_quantity") > 25, F.col("l_quantity")))
+    path = shared_dir(spark, "report")
+    schema = reports.write(l, path, ["l_orderkey", "l_linenumber", "l_partkey", "status", "size"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    return reports.read(spark, path, schema)
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'link' END AS failure FROM orders), g AS (SELECT l_orderkey, count(*) AS n, min(l_linenumber) AS a, max(l_linenumber) + 1 AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+SELECT o_orderkey AS source_id, CASE WHEN failure IS NOT NULL THEN 'skipped' WHEN n IS NOT NULL THEN 'found' ELSE 'clean' END AS status, failure, coalesce(n, 0) AS findings, a AS first, b AS last FROM f LEFT JOIN g ON l_orderkey = o_orderkey""")
+def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each file, an order, with what was found in it or why it was skipped."""
+    from ..sources import reports
+
+    files = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.when(F.col("o_orderstatus") == "P", "link").alias("failure"))
+    found = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"))
+    return reports.folder(files, found)
+
+
+@query("""
+WITH p AS (SELECT l_suppkey AS source, l_partkey % 64 AS page, l_partkey % 7 AS kind, l_linenumber % 3 AS level, (l_orderkey + 1) % 64 AS next FROM lineitem),
+k AS (SELECT source, page, min(kind) AS kind, min(level) AS level, min(next) AS next FROM p GROUP BY source, page),
+l AS (SELECT * FROM k WHERE kind = 5 AND level = 1)
+SELECT l.source, l.page, l.page * 4096 AS at, n.page IS NOT NULL AS next_is_leaf FROM l LEFT JOIN l n ON n.source = l.source AND n.page = l.next""")
+def leaf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf pages at aligned places of a source, and whether the page that each names next is one too."""
+    p = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 64).alias("page"), (F.col("l_partkey") % 7).alias("kind"), (F.col("l_linenumber") % 3).alias("level"), ((F.col("l_orderkey") + 1) % 64).alias("next"))
+    k = p.groupBy("source", "page").agg(F.min("kind").alias("kind"), F.min("level").alias("level"), F.min("next").alias("next"))
+    leaves = k.where("kind = 5 AND level = 1").select("source", "page", "next")
+    named = leaves.select("source", F.col("page").alias("next"), F.lit(True).alias("there"))
+    return leaves.join(named, ["source", "next"], "left").select("source", "page", (F.col("page") * 4096).alias("at"), F.coalesce("there", F.lit(False)).alias("next_is_leaf"))
