@@ -182,8 +182,8 @@ def frequent_tokens(docs: DataFrame, words: int, percent: int) -> Order:
 
 
 def matrix_limit(percent: int) -> np.uint64:
-    """End of the part of the range that matrix rows keep: twice the share of tokens in which similar sets may differ."""
-    return np.uint64(min(1.0, 0.02 * (100 - percent)) * (2.0**64 - 2**12))
+    """End of the part of the range that matrix rows keep: a quarter more than the share of tokens in which similar sets may differ."""
+    return np.uint64(min(1.0, 0.0125 * (100 - percent)) * (2.0**64 - 2**12))
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
