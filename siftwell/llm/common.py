@@ -35,18 +35,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def packed(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def packed(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """``docs`` with its columns but ``used`` in one, whose name no column has, and a function that unpacks them.
 
     What an operator adds to ``docs`` can then clash with none of them; the function gives back the columns
-    of ``docs`` in their order, with ``used`` as the operator left them.
+    of ``docs`` in their order, with ``used`` as the operator left them, and behind them the columns it is told
+    were added. A column of ``docs`` with the name of an added one is replaced.
     """
     name = "_rest"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     rest = [c for c in docs.columns if c not in used]
     whole = docs.select(*(F.col(f"`{c}`") for c in used), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias(name)).alias(name))
-    return whole, lambda df: df.select(*(F.col(f"`{c}`") if c in used else F.col(f"{name}.`{c}`") for c in docs.columns))
+
+    def unpack(df: DataFrame, *added: str) -> DataFrame:
+        kept = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
+        return df.select(*(F.col(f"`{c}`") if c in used else F.col(f"{name}.`{c}`") for c in kept), *added)
+
+    return whole, unpack
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bm25, line_dedup, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
+from . import ann, bm25, centroids, licenses, line_dedup, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25": bm25.op1_bm25,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_licenses": licenses.op11_licenses,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +30,6 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op7_ann": ann.SQL,
     "op9_url_filter": url_filter.SQL,
+    "op11_licenses": licenses.SQL,
+    "op13_centroids": centroids.SQL,
 }
