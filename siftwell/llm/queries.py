@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bm25, centroids, licenses, line_dedup, mixing, ngram_join, packing, pii, toxicity, url_filter, warc
+from . import ann, bm25, centroids, licenses, line_dedup, mixing, ngram_join, packing, pii, spelling, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25": bm25.op1_bm25,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_licenses": licenses.op11_licenses,
+    "op12_spelling": spelling.op12_spelling,
     "op13_centroids": centroids.op13_centroids,
 }
 
@@ -31,5 +32,6 @@ ORACLES: dict[str, str] = {
     "op7_ann": ann.SQL,
     "op9_url_filter": url_filter.SQL,
     "op11_licenses": licenses.SQL,
+    "op12_spelling": spelling.SQL,
     "op13_centroids": centroids.SQL,
 }
