@@ -8,7 +8,8 @@ members compared.
 1. Documents with the same set of tokens are one node; copies need no comparing.
 2. Min-hash keys gather likely partners; each is compared with the most central of its key, that whose own keys
    gather most, as an original's do among its copies. That costs one comparison a document however large the
-   gathering. What is linked needs no more comparing.
+   gathering. Who is left over is compared once more, with the centre of the largest component that any of its
+   keys leads to. What is linked needs no more comparing.
 3. Every pair that may still be missed shares one of its prefix tokens: with tokens in one order for all,
    rare before frequent, two sets with enough common tokens share s of their first n - ceil(t n) + s. Nodes
    that share such tokens with nodes they aren't linked with are partitioned into groups of similar ones
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, grouped_map, materialize, mixed, shuffle_partitions, table, text_batches
+from .common import components, grouped_map, materialize, mixed, packed, shuffle_partitions, table, text_batches
 
 #: Words of a token and least similarity in hundredths, as the query asks.
 WORDS, PERCENT = 4, 85
@@ -308,17 +309,51 @@ def with_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def with_levels(nodes: DataFrame) -> DataFrame:
+    """``nodes(node, component)`` with components that are numbered smaller ones first, by the size's power of two.
+
+    Few nodes of small components then ask the groups of large ones, not many the groups that hold a small one.
+    The number stays below 63 bits up to 2^24 partitions.
+    """
+    size = nodes.groupBy("component").agg(F.count("*").alias("size"))
+    level = F.shiftleft(F.floor(F.log2("size")).cast("long"), 57)
+    return nodes.join(size, "component").withColumn("component", level + F.col("component")).drop("size")
+
+
+def left_over(keyed: DataFrame, linked: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, group)``: nodes and the centre of the largest component that one of their keys gathers, if it isn't their own.
+
+    The centre of a component is the node with the most links. ``keyed(node, i, key)``, ``linked(node, component)``.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    parts = linked.select("node", "component").join(degree, "node", "left")
+    centres = parts.groupBy("component").agg(F.count("*").alias("size"), F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).alias("c"))
+    held = keyed.join(parts.select("node", "component"), "node")
+    # one row a key and component before the join
+    largest = held.select("i", "key", "component").distinct().join(centres, "component").groupBy("i", "key").agg(F.max(F.struct("size", "component", "c.node")).alias("l"))
+    return held.join(largest, ["i", "key"]).where(F.col("component") != F.col("l.component")).select("node", F.col("l.node").alias("group")).distinct()
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text and any others) with n_shingles and component_id.
 
     Two documents link when the Jaccard similarity of their token sets is ``percent`` hundredths or more.
     component_id is the smallest doc_id of the documents that links reach. A text without words links
     with nothing and keeps its own doc_id, which may be null; else a component without any id has a null
-    one. Repeated rows have equal sets and so a common component. An empty table gives an empty one.
-    Columns ``n_shingles`` and ``component_id`` of ``docs`` are replaced, others pass through.
+    one. Repeated rows have equal sets and so a common component. A very long text is one set, however many
+    tokens it has. An empty table gives an empty one. Columns ``n_shingles`` and ``component_id`` of ``docs``
+    are replaced, others pass through.
     """
+    whole, unpack = packed(docs, "doc_id", "text")
+    out = grouped(docs, words, percent).dropDuplicates(["rid", "text_key"])
+    d, o = whole.withColumn("text_key", text_key()).alias("d"), out.alias("o")
+    back = d.join(o, F.col("d.doc_id").eqNullSafe(F.col("o.rid")) & (F.col("d.text_key") == F.col("o.text_key")))
+    return unpack(back.select("d.*", "o.n_shingles", "o.component_id"), "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """rid (the doc_id), text_key, n_shingles and component_id of every row of ``docs``, as ``join`` says; without moving texts."""
     text_batches(docs.sparkSession)
-    docs = docs.drop("n_shingles", "component_id", "rid")
     # text_key names a row's text, so ids need be neither unique nor present
     base = docs.select(F.col("doc_id").alias("rid"), "text")
     sig = signatures(base, words, percent, frequent_tokens(base, words, percent))
@@ -336,6 +371,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     alone = firsts.select("node", F.col("node").alias("component"), "text_key", "rid")
     links = compare(likely, likely.select("group", F.col("group").alias("node")).distinct(), alone, base, words, percent, "likely-links", upward=False)
     linked = materialize(with_groups(firsts.select("node", "n", "shared", "text_key", "rid"), links), "linked")
+    again = materialize(left_over(keyed, linked, links), "again")
+    second = compare(again, again.select("group", F.col("group").alias("node")).distinct(), linked, base, words, percent, "second-links", upward=False)
+    of = linked.select("node", "component")
+    # links between components, so few
+    steps = second.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(steps, "merged").toDF("component", "larger")
+    linked = linked.join(merged, "component", "left").withColumn("component", F.coalesce("larger", "component")).drop("larger")
+    linked = materialize(with_levels(linked), "linked")
     # prefix tokens that nodes of more than one component hold
     held = firsts.select("node", F.posexplode("prefix").alias("at", "token")).join(linked.select("node", "component"), "node")
     held = held.repartition(shuffle_partitions(docs.sparkSession), "token")
@@ -361,22 +404,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     members = grouped.select("group", "node")
     pairs = opened(pairs, members, firsts.select("node", "n", "low"), percent)
     more = compare(pairs, members.join(pairs.select("group").distinct(), "group", "left_semi"), linked, base, words, percent, "links")
-    final = with_groups(nodes, links.unionByName(more)).select("set_key", "component")
+    final = with_groups(nodes, links.unionByName(second).unionByName(more)).select("set_key", "component")
     placed = materialize(sig.select("rid", "n", "set_key", "text_key").join(final, "set_key", "left"), "placed")
     ids = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("rid").alias("component_id"))
-    out = placed.join(ids, "component", "left").select(
+    return placed.join(ids, "component", "left").select(
         "rid", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("rid")).alias("component_id")
     )
-    if docs.columns == ["doc_id", "text"]:
-        return out.select(F.col("rid").alias("doc_id"), "n_shingles", "component_id")
-    out = out.dropDuplicates(["rid", "text_key"])
-    d = docs.withColumn("_text_key", text_key()).alias("d")
-    o = out.alias("o")
-    return d.join(o, F.col("d.doc_id").eqNullSafe(F.col("o.rid")) & (F.col("d._text_key") == F.col("o.text_key"))).select(*(F.col(f"d.`{c}`") for c in docs.columns), "o.n_shingles", "o.component_id")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("rid").alias("doc_id"), "n_shingles", "component_id")
 
 
 SQL = f"""

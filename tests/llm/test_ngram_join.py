@@ -35,7 +35,7 @@ def brute(rows, k, percent):
 
 def check(spark, rows, k=4, percent=85):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [tuple(r) for r in ngram_join.join(docs, k, percent).collect()]
+    got = [tuple(r) for r in ngram_join.join(docs, k, percent).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(got, key=str) == brute(rows, k, percent)
 
 
@@ -112,7 +112,21 @@ def test_odd_rows(spark):
 
 def test_other_columns(spark):
     rows = [(1, "a b c d e", "x", 7), (2, "a b c d e", "y", 8), (2, "a b c d e", "y", 8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, node int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, rid int")
     out = ngram_join.join(docs)
-    assert out.columns == ["doc_id", "text", "node", "n_shingles", "component_id"]
+    assert out.columns == ["doc_id", "text", "rid", "n_shingles", "component_id"]
     assert sorted(map(tuple, out.collect())) == [(1, "a b c d e", 7, 2, 1), (2, "a b c d e", 8, 2, 1), (2, "a b c d e", 8, 2, 1)]
+    assert ngram_join.join(docs.select("doc_id", "text")).columns == ["doc_id", "text", "n_shingles", "component_id"]
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Copies that share no min-hash key with their original still join its component, and few of them ask other groups."""
+    r = random.Random(21)
+    base = [f"o{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for _ in range(r.randrange(5)):
+            t[r.randrange(len(t))] = f"c{r.randrange(50)}"
+        rows.append((i, " ".join(t)))
+    check(spark, rows)
