@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
+from .store import materialize
 
-#: Reasons that an occurrence is for review, in their order.
-OVERLAP, SAME_START, SAME_END, DENSE, WORDLIST = "OVERLAP_CLUSTER", "SAME_START_MULTIPLE_LENGTHS", "SAME_END_MULTIPLE_LENGTHS", "DENSE_SLIDING_WINDOWS", "WORDLIST_REGION_LIKELY"
+#: Reasons that an occurrence is for review, in their order, and what cluster ids begin with. Fixed values of reports.
+OVERLAP, SAME_START, SAME_END, DENSE, WORDLIST = (
+    "MNEMONIC_OVERLAP_CLUSTER", "MNEMONIC_SAME_START_MULTIPLE_LENGTHS", "MNEMONIC_SAME_END_MULTIPLE_LENGTHS", "MNEMONIC_DENSE_SLIDING_WINDOWS", "MNEMONIC_WORDLIST_REGION_LIKELY",
+)
+CLUSTER = "mnemonic-cluster-"
 
 
 def regular(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,12 +39,14 @@ def correlate(found: DataFrame, line: str, gap: int, compact: int, each: int, wi
     """
     keys = [line, "region"]
     d = intervals.islands(found, [line], gap, "end", width, ("start", "end", "id")).withColumnRenamed("island", "region")
-    d = intervals.islands(d, [line], 0, "component", width, ("start", "end", "id")).withColumnRenamed("island", "component")
+    d = materialize(intervals.islands(d, [line], 0, "component", width, ("start", "end", "id")).withColumnRenamed("island", "component"), "regions")
     groups = {"overlap": [line, "component"], "same_start": [*keys, "start"], "same_end": [*keys, "end"]}
     for name, by in groups.items():
         wanted = F.count("*") > 1 if name == "overlap" else (F.count("*") > 1) & (F.countDistinct("words") > 1)
         # the variants of a place are few; flags come back by its key
-        d = d.join(d.groupBy(*by).agg(wanted.alias(name)), by)
+        flags = d.groupBy(*by).agg(wanted.alias(name))
+        d = d.join(flags, by)
+    d = materialize(d, "flags")
     r = d.groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max("end") - F.min("start")).alias("span"), F.countDistinct("words").alias("lengths"), F.countDistinct("fingerprint").alias("prints"),
         F.bool_or(F.col("same_start") | F.col("same_end")).alias("variant"), F.count_if("overlap").alias("overlaps"),
@@ -55,11 +61,12 @@ def correlate(found: DataFrame, line: str, gap: int, compact: int, each: int, wi
     d = d.join(r.select(*keys, (tight & dense).alias("dense")), keys)
     classified = F.col("dense") | F.col("overlap") | F.col("same_start") | F.col("same_end")
     relevance = F.when(F.col("dense"), "LIKELY_WORDLIST_FALSE_POSITIVE").when(classified, "CONTEXT_REVIEW").otherwise("INDEPENDENT_CANDIDATE")
-    d = d.withColumn("relevance", relevance)
+    d = materialize(d.withColumn("relevance", relevance), "relevance")
     member = F.sha2(F.concat_ws("|", "start", "end", "words", "fingerprint"), 256)
-    half = lambda at: F.bit_xor(F.conv(F.substring(member, at, 15), 16, 10).cast("long"))
+    # sums keep repeated members apart, which an exclusive or would cancel
+    part = lambda at: F.sum(F.conv(F.substring(member, at, 15), 16, 10).cast("decimal(38,0)"))
     clusters = d.where("relevance <> 'INDEPENDENT_CANDIDATE'").groupBy(*keys).agg(
-        F.concat(F.lit("cluster-"), F.substring(F.sha2(F.concat_ws("|", half(1), half(16), F.count("*")), 256), 1, 16)).alias("_cluster"),
+        F.concat(F.lit(CLUSTER), F.substring(F.sha2(F.concat_ws("|", F.first(F.col(line).cast("string")), F.min("start"), F.count("*"), part(1), part(16)), 256), 1, 16)).alias("_cluster"),
         F.count("*").alias("_size"), F.min("start").alias("_low"), F.max("end").alias("_high"),
     )
     inside = F.col("relevance") != "INDEPENDENT_CANDIDATE"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,37 @@ def reasons(hits: Column, types: Column, strongest: Column, known: Column, pairs
     return F.array_compact(F.array(*(F.when(c, r) for c, r in found)))
 
 
+def policy(
+    hits: DataFrame, keys: list[str], min_hits: int = 2, min_types: int = 2, max_span: int | None = None, required: Sequence[Collection[str]] = ()
+) -> DataFrame:
+    """keys, hits, hit_types, span, strongest and reasons of each cluster of ``hits(keys, start, hit_type, target, kind, strength)``; admitted without reasons.
+
+    A known target is any but ``unknown`` and null. A cluster without one has no strength and needs no corroboration; any other
+    without a strong hit needs two distinct (kind, hit type) pairs under one known target. Of every required group one
+    hit type must be there. Hit types come from a closed vocabulary.
+    """
+    if min_hits < 1 or min_types < 1 or (max_span is not None and max_span < 0):
+        raise ValueError("minimums are at least one, and a span is not negative")
+    if any(isinstance(g, str) or not g or not all(isinstance(n, str) and n for n in g) for g in required):
+        raise ValueError("a required group is a set of names")
+    known = F.coalesce(F.col("target") != "unknown", F.lit(False))
+    # one row a cluster and target first, so that a cluster with very many hits is no large group
+    each = hits.groupBy(*keys, "target").agg(
+        F.count("*").alias("hits"), F.collect_set("hit_type").alias("types"), F.min("start").alias("low"), F.max("start").alias("high"), F.max("strength").alias("strongest"),
+        F.countDistinct(F.when(known, F.struct("kind", "hit_type"))).alias("pairs"), F.bool_or(known).alias("known"),
+    )
+    g = each.groupBy(*keys).agg(
+        F.sum("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("hit_types"), (F.max("high") - F.min("low")).alias("span"),
+        F.max("strongest").alias("strongest"), F.max("pairs").alias("pairs"), F.bool_or("known").alias("known"),
+    )
+    strongest = F.when(F.col("known"), F.coalesce(F.col("strongest"), F.lit(0))).otherwise(0)
+    there = F.lit(True)
+    for group in required:
+        there &= F.arrays_overlap("hit_types", F.array(*map(F.lit, sorted(group))))
+    why = reasons(F.col("hits"), F.size("hit_types"), strongest, F.col("known"), F.col("pairs"), there, F.col("span"), min_hits, min_types, max_span)
+    return g.select(*keys, "hits", "hit_types", "span", strongest.alias("strongest"), why.alias("reasons"))
+
+
 def state(structural: Column, validation: Column, kind: Column, completeness: Column | None = None, relevance: Column | None = None) -> Column:
     """The four axes of a finding's public state, as a struct.
 

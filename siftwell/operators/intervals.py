@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 
 def _stretch(at: Column | str, width: int) -> Column:
     return F.floor((F.col(at) if isinstance(at, str) else at) / width)
@@ -33,10 +35,12 @@ def islands(df: DataFrame, keys: list[str], gap: int, mode: str = "start", width
     * ``start``: they start more than ``gap`` after the row before starts;
     * ``end``: they start more than ``gap`` after the largest end so far;
     * ``component``: they start at or after the largest end so far (``gap`` is not used).
+
+    ``df`` is computed once: its rows are stored with their stretches, and all passes read those.
     """
     whole, inside = Window.partitionBy(*keys).orderBy("_stretch"), Window.partitionBy(*keys, "_stretch").orderBy(*order)
     before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
-    d = df.withColumn("_stretch", _stretch("start", width))
+    d = materialize(df.withColumn("_stretch", _stretch("start", width)), "stretches")
     edges = d.groupBy(*keys, "_stretch").agg(F.max("start").alias("_last"), F.max("end").alias("_top"))
     edges = edges.select(*keys, "_stretch", F.lag("_last").over(whole).alias("_last"), F.max("_top").over(whole.rowsBetween(*before)).alias("_top"))
     d = _with(d, edges, keys)

@@ -412,21 +412,25 @@ def finding_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {STATUS_SQL},
+h AS (SELECT l_orderkey, l_linenumber, 'type-' || kind AS type, l_returnflag AS kind, structural, validation, CASE WHEN l_suppkey % 5 = 0 THEN 'unknown' ELSE target END AS target FROM f),
 s AS (SELECT *, CASE WHEN validation IN ('CHECKSUM_INVALID', 'INSUFFICIENT_EXPORT_STRUCTURE') THEN 0
-    WHEN structural = 'STRUCTURAL' AND validation <> 'UNVALIDATED' THEN 2 WHEN structural = 'FRAGMENT' THEN 1 ELSE 0 END AS strength FROM f),
-g AS (SELECT l_orderkey, count(*) AS hits, count(DISTINCT kind) AS types, max(strength) AS strongest, count(DISTINCT (kind, l_returnflag)) AS pairs, max(l_linenumber) - min(l_linenumber) AS span, bool_or(kind = 1) AS required FROM s GROUP BY l_orderkey)
+    WHEN structural = 'STRUCTURAL' AND validation <> 'UNVALIDATED' THEN 2 WHEN structural = 'FRAGMENT' OR target = 'unknown' THEN 1 ELSE 0 END AS strength FROM h),
+p AS (SELECT l_orderkey, max(pairs) AS pairs FROM (SELECT l_orderkey, target, count(DISTINCT (kind, type)) AS pairs FROM s WHERE target <> 'unknown' GROUP BY ALL) GROUP BY l_orderkey),
+g AS (SELECT l_orderkey, count(*) AS hits, count(DISTINCT type) AS types, bool_or(target <> 'unknown') AS known, CASE WHEN bool_or(target <> 'unknown') THEN max(strength) ELSE 0 END AS strongest,
+        max(l_linenumber) - min(l_linenumber) AS span, bool_or(type = 'type-1') AND bool_or(type IN ('type-0', 'type-2')) AS required FROM s GROUP BY l_orderkey)
 SELECT l_orderkey, hits, strongest::BIGINT AS strongest, array_to_string(list_filter([CASE WHEN strongest < 2 AND hits < 2 THEN 'insufficient_hits' END, CASE WHEN strongest < 2 AND types < 2 THEN 'insufficient_distinct_types' END,
-    CASE WHEN strongest < 2 AND pairs < 2 THEN 'weak_evidence_requires_independent_corroboration' END, CASE WHEN NOT required THEN 'missing_required_group' END, CASE WHEN span > 5 THEN 'signal_span_too_large' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
+    CASE WHEN known AND strongest < 2 AND pairs < 2 THEN 'weak_evidence_requires_independent_corroboration' END, CASE WHEN NOT required THEN 'missing_required_group' END, CASE WHEN span > 5 THEN 'signal_span_too_large' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM g LEFT JOIN p USING (l_orderkey)""")
 def orders_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an order's lines, read as hits, make a candidate: the reasons against it, in order."""
-    f = line_findings(spark, sf_dir).withColumn("strength", findings.strength(F.col("target"), F.col("structural"), F.col("validation")))
-    g = f.groupBy("l_orderkey").agg(
-        F.count("*").alias("hits"), F.countDistinct("kind").alias("types"), F.max("strength").cast("long").alias("strongest"), F.countDistinct("kind", "l_returnflag").alias("pairs"),
-        (F.max("l_linenumber") - F.min("l_linenumber")).alias("span"), F.bool_or(F.col("kind") == 1).alias("required"),
+    """Whether an order's lines, read as hits, make a candidate: the reasons against it, in order. Every fifth supplier is no known target."""
+    target = F.when(F.col("l_suppkey") % 5 == 0, "unknown").otherwise(F.col("target"))
+    f = line_findings(spark, sf_dir).withColumn("target", target)
+    hits = f.select(
+        "l_orderkey", F.col("l_linenumber").alias("start"), F.concat(F.lit("type-"), F.col("kind").cast("string")).alias("hit_type"), "target", F.col("l_returnflag").alias("kind"),
+        findings.strength(F.col("target"), F.col("structural"), F.col("validation")).alias("strength"),
     )
-    c = F.col
-    why = findings.reasons(c("hits"), c("types"), c("strongest"), F.lit(True), c("pairs"), c("required"), c("span"), 2, 2, 5)
-    return g.select("l_orderkey", "hits", "strongest", F.array_join(why, ",").alias("reasons"))
+    g = findings.policy(hits, ["l_orderkey"], 2, 2, 5, [{"type-1"}, {"type-0", "type-2"}])
+    return g.select("l_orderkey", "hits", F.col("strongest").cast("long").alias("strongest"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""

@@ -228,12 +228,12 @@ dn AS (SELECT user_id, region, span <= greatest({COMPACT}, n * {EACH}) AND ((n >
        FROM rr JOIN rg USING (user_id, region)),
 c AS (SELECT m.*, dense, CASE WHEN dense THEN 'LIKELY_WORDLIST_FALSE_POSITIVE' WHEN overlap OR same_start OR same_end THEN 'CONTEXT_REVIEW' ELSE 'INDEPENDENT_CANDIDATE' END AS relevance,
       sha256(start || '|' || end_ || '|' || words || '|' || fingerprint) AS member FROM m JOIN dn USING (user_id, region)),
-k AS (SELECT user_id, region, 'cluster-' || substr(sha256(bit_xor(('0x' || substr(member, 1, 15))::BIGINT) || '|' || bit_xor(('0x' || substr(member, 16, 15))::BIGINT) || '|' || count(*)), 1, 16) AS cluster,
+k AS (SELECT user_id, region, '{correlation.CLUSTER}' || substr(sha256(any_value(user_id) || '|' || min(start) || '|' || count(*) || '|' || sum(('0x' || substr(member, 1, 15))::BIGINT) || '|' || sum(('0x' || substr(member, 16, 15))::BIGINT)), 1, 16) AS cluster,
       count(*) AS cluster_size, min(start) AS cluster_start, max(end_) AS cluster_end FROM c WHERE relevance <> 'INDEPENDENT_CANDIDATE' GROUP BY ALL),
 r AS (SELECT c.*, CASE WHEN relevance <> 'INDEPENDENT_CANDIDATE' THEN cluster END AS cluster, CASE WHEN relevance <> 'INDEPENDENT_CANDIDATE' THEN cluster_size END AS cluster_size,
       CASE WHEN relevance <> 'INDEPENDENT_CANDIDATE' THEN cluster_start END AS cluster_start, CASE WHEN relevance <> 'INDEPENDENT_CANDIDATE' THEN cluster_end END AS cluster_end,
-      array_to_string(list_filter([CASE WHEN overlap THEN 'OVERLAP_CLUSTER' END, CASE WHEN same_start THEN 'SAME_START_MULTIPLE_LENGTHS' END, CASE WHEN same_end THEN 'SAME_END_MULTIPLE_LENGTHS' END,
-        CASE WHEN dense THEN 'DENSE_SLIDING_WINDOWS' END, CASE WHEN dense THEN 'WORDLIST_REGION_LIKELY' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c LEFT JOIN k USING (user_id, region))"""
+      array_to_string(list_filter([CASE WHEN overlap THEN '{correlation.OVERLAP}' END, CASE WHEN same_start THEN '{correlation.SAME_START}' END, CASE WHEN same_end THEN '{correlation.SAME_END}' END,
+        CASE WHEN dense THEN '{correlation.DENSE}' END, CASE WHEN dense THEN '{correlation.WORDLIST}' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c LEFT JOIN k USING (user_id, region))"""
 
 
 def _correlated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import findings, graph, intervals, text
+from siftwell.operators import correlation, findings, graph, intervals, text
 
 
 def spans(seed, n=120, lines=3):
@@ -174,3 +174,34 @@ def test_admission(spark):
     hits = spark.createDataFrame(rows, "line string, start long, end long, signature string, target string, rank int")
     # a strong hit beside a weak one doesn't back it
     assert sorted(r.start for r in findings.admitted(hits, ["line"], 10, 64).collect()) == [0, 5, 101, 500]
+
+
+def test_policy_counts_pairs_within_one_known_target(spark):
+    schema = "c long, start long, hit_type string, target string, kind string, strength int"
+    hit = lambda c, types, targets=None, kinds=None, strengths=None, starts=None: [
+        (c, (starts or range(0, 10 * len(types), 10))[i], t, (targets or ["unknown"] * 9)[i], (kinds or ["k"] * 9)[i], (strengths or [0] * 9)[i]) for i, t in enumerate(types)
+    ]
+    rows = (
+        hit(1, ["A", "B"]) + hit(2, ["A"]) + hit(3, ["N"] * 5) + hit(4, ["A", "B"], ["x", "y"]) + hit(5, ["A", "B"], ["x", "x"]) + hit(6, ["A"], ["x"], strengths=[2])
+        + hit(7, ["A", "B", "B"], ["x", "unknown", "unknown"]) + hit(8, ["A", "A", "B"], ["x", "x", "y"], ["k", "l", "k"]) + hit(9, ["A", "B"], ["unknown", "unknown"], strengths=[2, 2]) + hit(10, ["A", "B"], starts=[0, 101])
+    )
+    df = spark.createDataFrame(rows, schema)
+    got = {r.c: list(r.reasons) for r in findings.policy(df, ["c"], max_span=100).collect()}
+    weak = "weak_evidence_requires_independent_corroboration"
+    assert got == {1: [], 2: ["insufficient_hits", "insufficient_distinct_types"], 3: ["insufficient_distinct_types"], 4: [weak], 5: [], 6: [], 7: [weak], 8: [], 9: [], 10: ["signal_span_too_large"]}
+    one = df.where("c = 1")
+    assert findings.policy(one, ["c"], required=[{"A", "OTHER"}, {"B"}]).first().reasons == []
+    assert findings.policy(one, ["c"], required=[{"A"}, {"OTHER"}]).first().reasons == ["missing_required_group"]
+    for wrong in ({"min_hits": 0}, {"min_types": 0}, {"max_span": -1}, {"required": ["A"]}, {"required": [set()]}, {"required": [{""}]}):
+        with pytest.raises(ValueError):
+            findings.policy(one, ["c"], **wrong)
+
+
+def test_cluster_ids_tell_repeated_members_apart(spark):
+    rows = [(1, 0, 10, 12, "a"), (2, 0, 10, 12, "a"), (3, 5000, 9000, 24, "b"), (4, 5000, 9000, 24, "b"), (5, 20000, 20010, 12, "c")]
+    found = spark.createDataFrame([(7, *r) for r in rows], "line long, id long, start long, end long, words long, fingerprint string")
+    out = {r.id: r for r in correlation.correlate(found, "line", 100, 4096, 200).collect()}
+    assert out[1].cluster == out[2].cluster != out[3].cluster == out[4].cluster and out[5].cluster is None
+    assert out[1].cluster.startswith("mnemonic-cluster-") and out[1].cluster_size == 2
+    plan = correlation.correlate(found, "line", 100, 4096, 200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") + plan.count("Scan parquet") <= 6
