@@ -704,4 +704,4 @@ def fingerprint_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "l_partkey", named.alias("class"))
 
 
-from . import evidence, structures  # noqa: E402, F401  (register their queries)
+from . import evidence, structures, volumes  # noqa: E402, F401  (register their queries)
