@@ -8,8 +8,7 @@ members compared.
 1. Documents with the same set of tokens are one node; copies need no comparing.
 2. Min-hash keys gather likely partners; each is compared with the most central of its key, that whose own keys
    gather most, as an original's do among its copies. That costs one comparison a document however large the
-   gathering. Who is left over is compared once more, with the centre of the largest component that any of its
-   keys leads to. What is linked needs no more comparing.
+   gathering. What is linked needs no more comparing.
 3. Every pair that may still be missed shares one of its prefix tokens: with tokens in one order for all,
    rare before frequent, two sets with enough common tokens share s of their first n - ceil(t n) + s. Nodes
    that share such tokens with nodes they aren't linked with are partitioned into groups of similar ones
@@ -309,31 +308,6 @@ def with_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def with_levels(nodes: DataFrame) -> DataFrame:
-    """``nodes(node, component)`` with components that are numbered smaller ones first, by the size's power of two.
-
-    Few nodes of small components then ask the groups of large ones, not many the groups that hold a small one.
-    The number stays below 63 bits up to 2^24 partitions.
-    """
-    size = nodes.groupBy("component").agg(F.count("*").alias("size"))
-    level = F.shiftleft(F.floor(F.log2("size")).cast("long"), 57)
-    return nodes.join(size, "component").withColumn("component", level + F.col("component")).drop("size")
-
-
-def left_over(keyed: DataFrame, linked: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, group)``: nodes and the centre of the largest component that one of their keys gathers, if it isn't their own.
-
-    The centre of a component is the node with the most links. ``keyed(node, i, key)``, ``linked(node, component)``.
-    """
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    parts = linked.select("node", "component").join(degree, "node", "left")
-    centres = parts.groupBy("component").agg(F.count("*").alias("size"), F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).alias("c"))
-    held = keyed.join(parts.select("node", "component"), "node")
-    # one row a key and component before the join
-    largest = held.select("i", "key", "component").distinct().join(centres, "component").groupBy("i", "key").agg(F.max(F.struct("size", "component", "c.node")).alias("l"))
-    return held.join(largest, ["i", "key"]).where(F.col("component") != F.col("l.component")).select("node", F.col("l.node").alias("group")).distinct()
-
-
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text and any others) with n_shingles and component_id.
 
@@ -371,22 +345,14 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     alone = firsts.select("node", F.col("node").alias("component"), "text_key", "rid")
     links = compare(likely, likely.select("group", F.col("group").alias("node")).distinct(), alone, base, words, percent, "likely-links", upward=False)
     linked = materialize(with_groups(firsts.select("node", "n", "shared", "text_key", "rid"), links), "linked")
-    again = materialize(left_over(keyed, linked, links), "again")
-    second = compare(again, again.select("group", F.col("group").alias("node")).distinct(), linked, base, words, percent, "second-links", upward=False)
-    of = linked.select("node", "component")
-    # links between components, so few
-    steps = second.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    merged = components(steps, "merged").toDF("component", "larger")
-    linked = linked.join(merged, "component", "left").withColumn("component", F.coalesce("larger", "component")).drop("larger")
-    linked = materialize(with_levels(linked), "linked")
     # prefix tokens that nodes of more than one component hold
     held = firsts.select("node", F.posexplode("prefix").alias("at", "token")).join(linked.select("node", "component"), "node")
     held = held.repartition(shuffle_partitions(docs.sparkSession), "token")
-    several = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    several = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")).where("low < high").select("token", "holders")
     # with the same columns on both sides, one exchange serves both
-    held = materialize(held.join(several, "token", "left_semi").select("token", "at", "node", "component"), "held").drop("component")
-    # groups of similar nodes: by the least such token and a narrow band of sizes, at most about GROUP in each
-    likes = held.groupBy("node").agg(F.min("token").alias("like")).join(linked.select("node", "n", "shared", "component"), "node")
+    held = materialize(held.join(several, "token").select("token", "holders", "at", "node", "component"), "held").drop("component")
+    # groups of similar nodes: by the token that most hold, which edits of one text have in common, and a narrow band of sizes, at most about GROUP in each
+    likes = held.groupBy("node").agg(F.max(F.struct("holders", "token")).alias("like")).select("node", F.col("like.token").alias("like")).join(linked.select("node", "n", "shared", "component"), "node")
     likes = likes.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))))
     parts = likes.groupBy("like", "band").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
     grouped = likes.join(parts, ["like", "band"]).withColumn("group", F.xxhash64("like", "band", F.pmod(F.xxhash64("node"), F.col("parts"))))
@@ -404,7 +370,7 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     members = grouped.select("group", "node")
     pairs = opened(pairs, members, firsts.select("node", "n", "low"), percent)
     more = compare(pairs, members.join(pairs.select("group").distinct(), "group", "left_semi"), linked, base, words, percent, "links")
-    final = with_groups(nodes, links.unionByName(second).unionByName(more)).select("set_key", "component")
+    final = with_groups(nodes, links.unionByName(more)).select("set_key", "component")
     placed = materialize(sig.select("rid", "n", "set_key", "text_key").join(final, "set_key", "left"), "placed")
     ids = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("rid").alias("component_id"))
     return placed.join(ids, "component", "left").select(
