@@ -100,3 +100,42 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = carry.carried(chunked(pages.select("l_orderkey", blob.alias("blob")), "l_orderkey", 200, F.lit(False)), ["l_orderkey"], journals.Log)
     found = found.where("kind IN ('record', 'failure')")
     return found.select("l_orderkey", "kind", "offset", F.col("lsn").cast("long").alias("lsn"), "transaction", F.get("evidence", F.lit(0))["family"].alias("family"), "failure")
+
+
+# --- streams through extents --------------------------------------------------------------------------
+
+BLOCK = 64
+#: Ranges of every stream that are asked for.
+ASKED = ((0, 0, 16), (1, 40, 120), (2, 104, 400))
+
+
+@query(f"""
+WITH b AS (SELECT DISTINCT o_orderkey AS block FROM orders),
+l AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, 8 * (1 + l_partkey % 3 + l_linenumber % 5) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS rn FROM lineitem),
+e AS (SELECT l_partkey, sum(n) OVER (PARTITION BY l_partkey ORDER BY rn)::BIGINT - n AS logical, n, CASE WHEN l_suppkey % 10 <> 0 THEN l_orderkey * {BLOCK} + l_linenumber % 8 * 8 END AS physical FROM l),
+a AS (SELECT l_partkey, id, low, high FROM (SELECT DISTINCT l_partkey FROM lineitem), (VALUES {", ".join(map(str, ASKED))}) r(id, low, high)),
+w AS (SELECT l_partkey, id, unnest(range(low, high, 8)) AS pos FROM a),
+x AS (SELECT w.l_partkey, w.id, w.pos, e.logical, e.physical + w.pos - e.logical AS p FROM w LEFT JOIN e ON e.l_partkey = w.l_partkey AND e.logical <= w.pos AND w.pos < e.logical + e.n),
+y AS (SELECT x.*, b.block IS NOT NULL AS there, printf('%016X', p // {BLOCK} * 1000 + p % {BLOCK} // 8) AS h FROM x LEFT JOIN b ON b.block = p // {BLOCK}),
+g AS (SELECT l_partkey, id, bool_or(p IS NULL) AS gap, bool_and(there) AS there, count(DISTINCT logical) AS n, string_agg(array_to_string(list_transform([15, 13, 11, 9, 7, 5, 3, 1], lambda i: substr(h, i, 2)), ''), '' ORDER BY pos) AS bytes FROM y GROUP BY l_partkey, id)
+SELECT l_partkey, id, CASE WHEN gap THEN 1 ELSE n END AS pieces, CASE WHEN gap THEN 'logical_stream_gap_or_sparse' WHEN NOT there THEN 'short_image_read' END AS failure, CASE WHEN NOT gap AND there THEN md5(bytes) END AS digest FROM g""")
+def extent_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of streams whose extents lie in a source of blocks: sparse extents, ranges beyond a stream and blocks that are missing give their reason."""
+    from ..sources import extents as source
+
+    l = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    n = (8 * (1 + F.col("l_partkey") % 3 + F.col("l_linenumber") % 5)).cast("long")
+    logical = F.sum("length").over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    physical = F.when(F.col("l_suppkey") % 10 != 0, F.col("l_orderkey") * BLOCK + F.col("l_linenumber") % 8 * 8)
+    e = l.withColumn("length", n).withColumns({"logical": logical, "physical": physical}).select("l_partkey", "logical", "physical", "length")
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("id"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for i, a, b in ASKED)))
+    ranges = l.select("l_partkey").distinct().select("l_partkey", asked.alias("r")).select("l_partkey", "r.*")
+    found = source.pieces(ranges, e, ["l_partkey"], 4096).withColumn("source", F.lit(0))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    data = F.concat(*(_bytes(F.col("o_orderkey") * 1000 + i, 8) for i in range(BLOCK // 8)))
+    blocks = orders.select(F.lit(0).alias("source"), F.col("o_orderkey").alias("block"), data.alias("data"))
+    got = source.read_blocks(found, blocks, ["source"], ["l_partkey", "id", "logical_start"], BLOCK)
+    # a range's pieces are few and bounded by its length
+    g = got.groupBy("l_partkey", "id").agg(F.count("*").alias("pieces"), F.max("failure").alias("failure"), F.array_sort(F.collect_list(F.struct("logical_start", F.hex("data").alias("h")))).alias("parts"))
+    digest = F.md5(F.array_join(F.transform("parts", lambda x: x["h"]), "").cast("binary"))
+    return g.select("l_partkey", "id", "pieces", "failure", F.when(F.col("failure").isNull(), digest).alias("digest"))
