@@ -139,3 +139,73 @@ def extent_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = got.groupBy("l_partkey", "id").agg(F.count("*").alias("pieces"), F.max("failure").alias("failure"), F.array_sort(F.collect_list(F.struct("logical_start", F.hex("data").alias("h")))).alias("parts"))
     digest = F.md5(F.array_join(F.transform("parts", lambda x: x["h"]), "").cast("binary"))
     return g.select("l_partkey", "id", "pieces", "failure", F.when(F.col("failure").isNull(), digest).alias("digest"))
+
+
+# --- directory indexes --------------------------------------------------------------------------------
+
+INDEX, ENTRY, ENTRIES, IN_USE = 1024, 88, 7, 4
+ENTRIES_SQL = f"""
+l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber % 10 AS digit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS rn FROM lineitem),
+p AS (SELECT *, rn // {ENTRIES} AS block, rn % {ENTRIES} AS i, l_partkey % 13 = 0 AS wrong FROM l),
+b AS (SELECT l_orderkey, block, least(count(*), {IN_USE}) AS used, bool_or(wrong AND i < {IN_USE}) AS wrong, l_orderkey % 11 = 0 AS broken, l_orderkey % 17 = 0 AS misplaced FROM p GROUP BY l_orderkey, block),
+f AS (SELECT *, CASE WHEN broken THEN 'update_sequence_mismatch' WHEN misplaced THEN 'indx_vcn_invalid' WHEN wrong THEN 'index_entry_bounds_invalid' END AS failure FROM b)"""
+
+
+def index_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as index blocks of seven entries, of which four are in use: source_id, offset, data and vcn. Some blocks are broken, misplaced, or hold a wrong entry."""
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")) - 1
+    l = l.withColumns({"rn": rn}).withColumns({"block": F.floor(F.col("rn") / ENTRIES), "i": F.col("rn") % ENTRIES})
+    length = F.when(F.col("l_partkey") % 13 == 0, 4).otherwise(ENTRY)
+    name = F.concat(F.lit("w"), (F.col("l_linenumber") % 10).cast("string"))
+    entry = F.concat(
+        _bytes(F.col("l_partkey"), 6), _bytes(F.lit(1), 2), _bytes(length, 2), _bytes(F.lit(70), 2), zeros(4), _bytes(F.col("l_suppkey"), 6), _bytes(F.lit(3), 2), zeros(56), F.lit(b"\x02\x01"), utf16(name), zeros(ENTRY - 16 - 70)
+    )
+    g = l.select("l_orderkey", "block", "i", entry.alias("e")).groupBy("l_orderkey", "block").agg(F.array_sort(F.collect_list(F.struct("i", "e"))).alias("es"))
+    part = lambda of: joined(F.transform(of, lambda x: x["e"]))
+    used = F.least(F.size("es"), F.lit(IN_USE))
+    last = F.lit(bytes(8) + b"\x10\x00\x00\x00\x02\x00\x00\x00")
+    entries = F.concat(part(F.slice("es", 1, IN_USE)), last, part(F.slice("es", IN_USE + 1, ENTRIES)))
+    vcn = F.col("block") + F.when(F.col("l_orderkey") % 17 == 0, 1).otherwise(0)
+    body = F.concat(zeros(8), _bytes(vcn, 8), _bytes(F.lit(40), 4), _bytes(40 + 16 + ENTRY * used, 4), _bytes(F.lit(INDEX - 24), 4), zeros(4), zeros(24), F.col("x"))
+    d = g.select("l_orderkey", "block", "es", entries.alias("x"))
+    d = d.select("l_orderkey", "block", F.concat(F.lit(b"INDX\x28\x00\x03\x00"), body, zeros(INDEX - 64 - F.length("x"))).alias("d"))
+    cut = lambda a, n: F.substring("d", a + 1, n)
+    number = F.lit(b"\x09\x01")
+    end = F.when(F.col("l_orderkey") % 11 == 0, F.lit(b"\xee\xee")).otherwise(number)
+    data = F.concat(cut(0, 40), number, cut(510, 2), cut(1022, 2), cut(46, 464), number, cut(512, 510), end)
+    return d.select(F.col("l_orderkey").cast("string").alias("source_id"), (F.col("block") * INDEX).alias("offset"), data.alias("data"), F.col("block").alias("vcn"))
+
+
+@query(f"""
+WITH {ENTRIES_SQL}
+SELECT f.l_orderkey::VARCHAR AS source_id, f.block * {INDEX} AS "offset", CASE WHEN i < {IN_USE} THEN 'active' ELSE 'slack' END AS state, 64 + i * {ENTRY} + CASE WHEN i >= {IN_USE} THEN 16 ELSE 0 END AS entry_offset,
+       l_partkey AS file, l_suppkey AS parent, 'w' || digit AS name, NULL AS failure
+FROM f JOIN p ON p.l_orderkey = f.l_orderkey AND p.block = f.block WHERE failure IS NULL AND NOT p.wrong
+UNION ALL SELECT l_orderkey::VARCHAR, block * {INDEX}, NULL, NULL, NULL, NULL, NULL, failure FROM f WHERE failure IS NOT NULL""")
+def directory_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in use and in the slack of index blocks, and why blocks are refused."""
+    from ..functions import indexes
+
+    found = indexes.index_blocks(index_blobs(spark, sf_dir))
+    return found.select("source_id", "offset", F.explode_outer("entries").alias("e"), "failure").select("source_id", "offset", "e.state", "e.entry_offset", "e.file", "e.parent", "e.name", "failure").where("state IS NOT NULL OR failure IS NOT NULL")
+
+
+@query(f"""
+WITH {ENTRIES_SQL}
+SELECT l_orderkey::VARCHAR AS source_id, block * {INDEX} AS "offset", CASE WHEN broken OR wrong THEN NULL ELSE {INDEX} END AS block_size, CASE WHEN broken OR wrong THEN 0 ELSE used + (SELECT count(*) FROM p WHERE p.l_orderkey = f.l_orderkey AND p.block = f.block AND i >= {IN_USE} AND NOT p.wrong) END AS n,
+       CASE WHEN NOT (broken OR wrong) THEN CASE WHEN l_orderkey % 4 = 2 AND NOT misplaced THEN 'content_matches_current_indx' ELSE 'content_differs_current_indx' END END AS comparison,
+       CASE WHEN broken OR wrong THEN 'update_sequence_shape' END AS failure
+FROM f WHERE NOT (l_orderkey % 4 = 0)""")
+def stale_index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index blocks that no directory holds, tried as blocks of two sizes: those at places in use are left out, some others say what a block in use says."""
+    from ..functions import indexes
+    from ..operators.store import materialize
+
+    blobs = materialize(index_blobs(spark, sf_dir), "blobs")
+    order = F.col("source_id").cast("long")
+    used = indexes.index_blocks(blobs.where(order % 2 == 0))
+    current = used.withColumn("offset", F.when(order % 4 == 0, F.col("offset")).otherwise(-1))
+    sizes = blobs.select("source_id").distinct().select("source_id", F.explode(F.array(*(F.struct(F.lit(n).alias("block_size"), F.lit(n).alias("cluster")) for n in (INDEX, 512)))).alias("s")).select("source_id", "s.*")
+    out = indexes.stale_blocks(blobs, current, sizes)
+    return out.select("source_id", "offset", "block_size", F.size("entries").cast("long").alias("n"), "comparison", "failure")
