@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, grouped_map, materialize, mixed, shuffle_partitions, table, text_batches
+from .common import components, grouped_map, materialize, mixed, packed, shuffle_partitions, table, text_batches
 
 #: A line may have one edit for each so many characters, but at most EDITS.
 EDITS, PER_EDIT = 2, 20
@@ -394,16 +394,17 @@ def dedup(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> Data
     one. Columns n_lines and n_removed of ``docs`` are replaced, others pass through.
     """
     text_batches(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed")
+    whole, unpack = packed(docs, "doc_id", "text")
     gone = repeats(docs.select("doc_id", "text"), edits, per_edit).groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("gone"))
-    d, g = docs.withColumns({f"_t{i}": k for i, k in enumerate(_text_keys(), 1)}).alias("d"), gone.alias("g")
+    d, g = whole.withColumns({f"_t{i}": k for i, k in enumerate(_text_keys(), 1)}).alias("d"), gone.alias("g")
     both = d.join(g, (F.col("d._t1") == F.col("g.t1")) & (F.col("d._t2") == F.col("g.t2")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     lines = F.array(F.split("d.text", "\n", -1))
     left = F.transform(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("g.gone")), lambda i: x[i]), "\n"))
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(left[0])
-    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in whole.columns]
     n = F.when(F.col("d.text").isNull(), 0).otherwise(F.length("d.text") - F.length(F.replace(F.col("d.text"), F.lit("\n"), F.lit(""))) + 1)
-    return both.select(*columns, n.cast("long").alias("n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("n_removed"))
+    both = both.select(*columns, n.cast("long").alias("n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return unpack(both, "n_lines", "n_removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, packed, table
 
 #: Weights of the sources in order, repeating; share of all words that the mix takes; most copies of a source's words.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -67,9 +67,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     can be. The columns added replace any of the same name; others pass through.
     """
     docs = docs.withColumn("size", words(F.col("text")) if size is None else size)
+    whole, unpack = packed(docs, *(c for c in ("doc_id", "source", "text", "size") if c in docs.columns))
     bits = F.length(F.bin("size"))
     tie = [F.xxhash64("text")] if "text" in docs.columns else []
-    d = docs.drop("source_size", "target", "copies").withColumns({
+    d = whole.withColumns({
         "_skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
         "_band": bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))"),
         "_slot": F.coalesce(F.pmod("doc_id", F.lit(SLOTS)), F.lit(0)).cast("int"),
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     d = d.join(slots, keys).withColumn("_rank", F.col("_before") + F.row_number().over(within))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(F.col("_rank") * each + offset(F.col("_skey"), seed)) - F.floor((F.col("_rank") - 1) * each + offset(F.col("_skey"), seed))
-    return d.withColumn("copies", copies.cast("int")).select(*(c for c in docs.columns if c not in ("size", "source_size", "target", "copies")), "size", "source_size", "target", "copies")
+    return unpack(d.withColumn("copies", copies.cast("int")), "size", "source_size", "target", "copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_batches
+from .common import materialize, packed, table, text_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Groups of equal cardinality of the large pieces, which are longer than CAPACITY // SMALL; room that a configuration may leave, -1 for none that stays.
@@ -274,10 +274,11 @@ def place(cut_up: DataFrame, capacity: int = CAPACITY, groups: Sequence[int] = G
     """``cut_up`` (doc_id, piece, length, ids_crc32 and any others) with sequence_id and offset.
 
     Read more than once, so it should be stored. Pieces of a length may be placed in any order; ties are
-    ordered by doc_id, piece and ids_crc32, and equal rows may change places.
+    ordered by doc_id, piece and ids_crc32, and equal rows may change places. Other columns of any name pass through.
     """
+    whole, unpack = packed(cut_up, "doc_id", "piece", "length", "ids_crc32")
     slots = max(SLOTS, -(-cut_up.count() // SLOT_ROWS))
-    d = cut_up.drop("sequence_id", "offset").withColumn("_slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slots)))
+    d = whole.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slots)))
     slots = materialize(d.groupBy("length", "_slot").agg(F.count("*").alias("n")), "lengths")
     counts = {r.length: r.n for r in slots.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan(counts, capacity, groups, small)
@@ -302,7 +303,7 @@ def place(cut_up: DataFrame, capacity: int = CAPACITY, groups: Sequence[int] = G
         return pd.DataFrame({"sequence_id": first[at] + k // per[at], "offset": offset[at] + k % per[at] * size[at]})
 
     d = d.withColumn("_at", placed("length", "_rank"))
-    return d.withColumns({"sequence_id": F.col("_at.sequence_id"), "offset": F.col("_at.offset")}).drop("_at", "_slot", "_before", "_rank")
+    return unpack(d.withColumns({"sequence_id": F.col("_at.sequence_id"), "offset": F.col("_at.offset")}), "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table
 
 #: kind -> (a character, or an expression, that is found wherever the pattern is; pattern). In the order of kinds.
 PATTERNS = {
@@ -159,11 +159,12 @@ def _confirmed(kind: str) -> str:
 def spans(docs: DataFrame) -> DataFrame:
     """``docs`` with spans, an array of (start, rank, kind, end, score) by start and kind; end is exclusive.
 
-    Null and empty texts have no spans. Repeated rows stay, ids play no part, and other columns pass
-    through; a column ``spans`` is replaced.
+    Null and empty texts have no spans; very long ones are searched whole, in time that grows with their length. Repeated
+    rows stay, ids play no part, and an empty table stays empty. Other columns of any name pass through; a column
+    ``spans`` is replaced.
     """
-    keep = [c for c in docs.columns if c != "spans"]
-    d = docs.withColumn("_text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    whole, unpack = packed(docs, "text")
+    d = whole.withColumn("_text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumns({f"f_{k}": _found(k) for k in PATTERNS})
     lists = []
     for rank, kind in enumerate(PATTERNS):
@@ -176,7 +177,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 x -> {str(kind in BASE).lower()} OR x.score >= {LEAST}D) END""")
     empty = "cast(array() AS ARRAY<STRUCT<start: INT, rank: INT, kind: STRING, end: INT, score: DOUBLE>>)"
     out = d.withColumn("spans", F.expr(f"array_sort(flatten(array({', '.join(f'coalesce({x}, {empty})' for x in lists)})))"))
-    return out.withColumn("text", F.col("_text")).select(*keep, "spans")
+    return unpack(out.withColumn("text", F.col("_text")), "spans")
 
 
 def joined(of: str) -> str:

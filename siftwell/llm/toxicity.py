@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import packed, table, text_batches
 
 #: Buckets that terms are hashed to; the least frequency of those that become inputs; size of their vectors.
 BUCKETS, LEAST, FACTORS = 1 << 18, 5, 8
 #: Lengths of the beginnings of words that are terms too.
 PREFIXES = (4, 5)
 #: Rows that the machine is fitted on, at most: a sample by hash of doc_id. Steps, and the most passes that they may be; rows in a step, step, weight decay.
+#: Inputs of all those rows together, at most (4 bytes each on the driver, so below 100 MB).
+MOST_ELEMENTS = 20_000_000
 MOST_ROWS, STEPS, PASSES, BATCH, STEP, DECAY = 20_000, 1500, 60, 256, 0.03, 1e-5
 #: Labels are broadcast up to so many rows (an id and a number each, so below 64 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
@@ -151,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine from the labelled ``docs(doc_id, text)`` that are not held out.
 
     ``labels(doc_id, toxic)`` may repeat a row; a document is toxic if any of its rows says so, and null
-    labels and ids do not count. Without both labels every score is the share of toxic rows.
+    labels and ids do not count. Without both labels, and so with empty tables, every score is the share of toxic rows. Null
+    texts are empty, very long ones count whole. At most MOST_ROWS rows are learned from, the first by a hash of their ids,
+    and of these as many as have MOST_ELEMENTS inputs together. Other columns are ignored.
     """
     text_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -172,15 +176,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     pace = np.clip((z / TELLING) ** 2, SLOWEST, 1) if len(seen) else None
     rate = min(1.0, MOST_ROWS / (clean + toxic))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    rows = sample.mapInPandas(_rows(inputs), "doc_id long, toxic int, x binary").toPandas().sort_values(["doc_id", "toxic", "x"])
+    rows = sample.mapInPandas(_rows(inputs), "doc_id long, toxic int, x binary")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "x").limit(MOST_ROWS).withColumn("elements", F.length("x") / 4)
+    held, elements = [], 0
+    for row in rows.toLocalIterator():
+        elements += row.elements
+        if held and elements > MOST_ELEMENTS:
+            break
+        held.append((row.doc_id, row.toxic, bytes(row.x)))
+    rows = pd.DataFrame(held, columns=["doc_id", "toxic", "x"]).sort_values(["doc_id", "toxic", "x"])
+    del held
     toxic_, x = rows["toxic"].to_numpy(float), [np.frombuffer(v, np.int32) for v in rows["x"]]
     del rows
     return train(x, toxic_, inputs, pace, consume=True)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with score in [0, 1] and predicted; a null text is an empty one. Every row of ``docs`` stays, also repeated ones."""
+    """``docs`` with score in [0, 1] and predicted; a null text is an empty one, a very long one is scored whole.
+
+    Every row of ``docs`` stays, also repeated ones; an empty table stays empty. Columns score and predicted of
+    ``docs`` are replaced, others of any name pass through.
+    """
     text_batches(docs.sparkSession)
+    whole, unpack = packed(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
@@ -188,7 +206,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         return text.map(shared.value.score).astype("float64")
 
     # the text goes to Python once; predicted reads the finished score
-    return docs.withColumn("score", scores(F.coalesce("text", F.lit("")))).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    out = whole.withColumn("score", scores(F.coalesce("text", F.lit("")))).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    return unpack(out, "score", "predicted")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

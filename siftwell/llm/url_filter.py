@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, packed, table
 
 #: (verdict, host, path prefix). A rule holds for its host and all subdomains; the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -73,11 +73,13 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
 
     ``listed(canonical)`` holds distinct canonical URLs. Where no rule fits, a listed URL is blocked and
     any other allowed. A null or odd URL has an empty host and path, fits no rule, is not listed and so
-    allowed. Columns of ``pages`` with the names of the added ones are replaced. Repeated rows stay.
+    allowed. A very long URL is judged whole. An empty table stays empty, with an empty list nothing is listed. Columns of
+    ``pages`` with the names of the added ones are replaced, others of any name pass through. Repeated rows stay.
     """
+    whole, unpack = packed(pages, "url")
     words = words_for(listed.count())
     host, path = parts(F.col("url"))
-    out = pages.withColumn("host", host).withColumn("path", path)
+    out = whole.withColumn("host", host).withColumn("path", path)
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     out = out.withColumn("rule", name).withColumn("_verdict", verdict).withColumn("canonical", canonical(F.col("host"), F.col("path")))
     words_table = bloom(listed, words)
@@ -90,7 +92,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     hits = out.where(maybe).join(listed.select("canonical", F.lit(True).alias("listed")), "canonical", "left")
     rest = out.where(~maybe).withColumn("listed", F.lit(False))
     both = hits.withColumn("listed", F.coalesce("listed", F.lit(False))).unionByName(rest)
-    return both.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_verdict", "block", "word")
+    both = both.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow")))
+    return unpack(both, "host", "path", "rule", "canonical", "listed", "verdict")
 
 
 def listed_urls(pages: DataFrame, labels: Sequence[str] = LISTED_LABELS) -> DataFrame:
