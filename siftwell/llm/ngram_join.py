@@ -348,11 +348,12 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     # prefix tokens that nodes of more than one component hold
     held = firsts.select("node", F.posexplode("prefix").alias("at", "token")).join(linked.select("node", "component"), "node")
     held = held.repartition(shuffle_partitions(docs.sparkSession), "token")
-    several = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")).where("low < high").select("token", "holders")
+    several = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     # with the same columns on both sides, one exchange serves both
-    held = materialize(held.join(several, "token").select("token", "holders", "at", "node", "component"), "held").drop("component")
+    held = materialize(held.join(several, "token", "left_semi").select("token", "at", "node", "component"), "held").drop("component")
     # groups of similar nodes: by the token that most hold, which edits of one text have in common, and a narrow band of sizes, at most about GROUP in each
-    likes = held.groupBy("node").agg(F.max(F.struct("holders", "token")).alias("like")).select("node", F.col("like.token").alias("like")).join(linked.select("node", "n", "shared", "component"), "node")
+    holders = held.groupBy("token").agg(F.count("*").alias("holders"))
+    likes = held.select("token", "node").join(holders, "token").groupBy("node").agg(F.max(F.struct("holders", "token")).alias("like")).select("node", F.col("like.token").alias("like")).join(linked.select("node", "n", "shared", "component"), "node")
     likes = likes.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))))
     parts = likes.groupBy("like", "band").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
     grouped = likes.join(parts, ["like", "band"]).withColumn("group", F.xxhash64("like", "band", F.pmod(F.xxhash64("node"), F.col("parts"))))
