@@ -19,15 +19,18 @@ def power_of_two(x: Column) -> Column:
 
 
 def boot_sector(data: Column) -> Column:
-    """Geometry of an NTFS boot sector; state is structural or rejected."""
-    sector, per_cluster = unsigned(data, 11, 2), unsigned(data, 13, 1)
-    sectors, mft, mirror = unsigned64(data, 40), unsigned64(data, 48), unsigned64(data, 56)
-    raw = unsigned(data, 64, 1)
+    """Geometry of an NTFS boot sector; state is structural or rejected. A size is a number of clusters, or a negative power of two."""
+    sector, per_cluster = F.nullif(unsigned(data, 11, 2), F.lit(0)), F.nullif(unsigned(data, 13, 1), F.lit(0))
+    sectors, mft, mirror, serial = unsigned64(data, 40), unsigned64(data, 48), unsigned64(data, 56), unsigned64(data, 72)
     cluster = sector * per_cluster
-    record = F.when(raw < 128, raw * cluster).otherwise(F.pow(F.lit(2), 256 - raw).cast("long"))
-    fits = (sectors > 0) & (mft * per_cluster < sectors) & (mirror * per_cluster < sectors)
-    good = (part(data, 3, 8) == F.lit(b"NTFS    ")) & (part(data, 510, 2) == F.lit(b"\x55\xaa")) & sector.isin(512, 1024, 2048, 4096) & power_of_two(per_cluster) & fits & record.between(256, 65536)
-    return F.struct(F.when(F.coalesce(good, F.lit(False)), "structural").otherwise("rejected").alias("state"), sector.alias("sector_size"), cluster.alias("cluster_size"), record.alias("record_size"), sectors.alias("sectors"), mft.alias("mft_cluster"), mirror.alias("mirror_cluster"))
+    sized = lambda at: F.when(unsigned(data, at, 1) < 128, unsigned(data, at, 1) * cluster).otherwise(F.pow(F.lit(2), 256 - unsigned(data, at, 1)).cast("long"))
+    record, index = sized(64), sized(68)
+    fits = (sectors > 0) & (mft < F.floor(sectors / per_cluster)) & (mirror < F.floor(sectors / per_cluster))
+    good = (part(data, 3, 8) == F.lit(b"NTFS    ")) & (part(data, 510, 2) == F.lit(b"\x55\xaa")) & sector.isin(512, 1024, 2048, 4096) & power_of_two(per_cluster) & (per_cluster <= 128) & fits & record.between(512, 65536) & (record % sector == 0)
+    return F.struct(
+        F.when(F.coalesce(good, F.lit(False)), "structural").otherwise("rejected").alias("state"), sector.alias("sector_size"), cluster.alias("cluster_size"), record.alias("record_size"), sectors.alias("sectors"),
+        mft.alias("mft_cluster"), mirror.alias("mirror_cluster"), index.alias("index_size"), serial.alias("serial"),
+    )
 
 
 def _metadata(data: Column, big: bool) -> Column:

@@ -102,6 +102,22 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "kind", "offset", F.col("lsn").cast("long").alias("lsn"), "transaction", F.get("evidence", F.lit(0))["family"].alias("family"), "failure")
 
 
+# --- UTF-16 runs --------------------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey, o_orderkey % 9 AS n, (' ' || o_orderkey || '-' || o_orderpriority)[:o_orderkey % 9] AS text FROM orders),
+p AS (SELECT *, 2 * (sum(length(text) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - length(text) - 1) AS start FROM s)
+SELECT o_custkey, start::BIGINT AS "offset", length(text)::INTEGER AS characters FROM p WHERE length(text) >= 4""")
+def utf16_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a customer's orders in UTF-16 between zeros, in chunks of 37 bytes that cut characters too: runs of four and more, without those of the other parity within them."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    text = F.left(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit("-"), "o_orderpriority"), F.col("o_orderkey") % 9)
+    d = o.select("o_custkey", "o_orderkey", F.concat(utf16(text), zeros(2)).alias("r"))
+    streams = d.groupBy("o_custkey").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "r"))), lambda x: x["r"])).alias("blob"))
+    return carry.maximal_runs(chunked(streams, "o_custkey", 37, F.lit(False)), ["o_custkey"]).select("o_custkey", "offset", "characters")
+
+
 # --- streams through extents --------------------------------------------------------------------------
 
 BLOCK = 64
@@ -209,3 +225,78 @@ def stale_index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = blobs.select("source_id").distinct().select("source_id", F.explode(F.array(*(F.struct(F.lit(n).alias("block_size"), F.lit(n).alias("cluster")) for n in (INDEX, 512)))).alias("s")).select("source_id", "s.*")
     out = indexes.stale_blocks(blobs, current, sizes)
     return out.select("source_id", "offset", "block_size", F.size("entries").cast("long").alias("n"), "comparison", "failure")
+
+
+# --- volumes that no table names ----------------------------------------------------------------------
+
+SECTOR, SECTORS, MFT, MIRROR, FILE = 512, 64, 4, 20, 1024
+NAMED = "source_id, volume_start, cluster_size, record_size, volume_end, boot_copies, boot_pair, mft_valid, mirror_valid, classification, strength"
+#: A source for each order: which boot sectors, file tables and mirrors there are, how large it is, and whether its volume is known.
+VOLUMES_SQL = f"""
+o AS (SELECT o_orderkey::VARCHAR AS source_id, o_orderkey AS k, 4096 * (1 + o_orderkey % 3) AS base, CASE WHEN o_orderkey % 2 = 0 THEN 512 ELSE 1024 END AS cluster FROM orders),
+h AS (SELECT source_id, k, base, cluster, {SECTORS} AS sectors, k % 5 <> 0 AS front, k % 3 <> 0 AS back, k % 7 <> 0 AS table_there, k % 11 = 0 AS mirror_there, CASE WHEN k % 13 = 0 THEN base + 20000 ELSE base + 40000 END AS size, k % 17 = 0 AS known FROM o),
+v AS (SELECT *, base AS volume_start, front AS p, back AS b FROM h WHERE front OR back
+      UNION ALL SELECT *, base - {SECTORS - 1} * {SECTOR}, false, true FROM h WHERE front AND base - {SECTORS - 1} * {SECTOR} >= 0
+      UNION ALL SELECT *, base + {SECTORS - 1} * {SECTOR}, true, false FROM h WHERE back),
+w AS (SELECT source_id, volume_start, cluster::BIGINT AS cluster_size, {FILE}::BIGINT AS record_size, volume_start + {SECTORS * SECTOR} AS volume_end, p::INTEGER + b::INTEGER AS boot_copies, p AND b AS boot_pair,
+      volume_start = base AND table_there AS mft_valid, volume_start = base AND mirror_there AS mirror_valid, size, known AND volume_start = base AS is_current FROM v),
+c AS (SELECT *, mft_valid OR mirror_valid OR boot_pair AS told, CASE WHEN is_current THEN 'current' WHEN (mft_valid OR mirror_valid OR boot_pair) AND volume_end <= size THEN 'detached' ELSE 'boot_only_unconfirmed' END AS classification FROM w),
+d AS (SELECT source_id, volume_start, cluster_size, record_size, volume_end, boot_copies::BIGINT AS boot_copies, boot_pair, mft_valid, mirror_valid, classification,
+      CASE WHEN classification = 'detached' THEN 'detached_volume_structural' WHEN told THEN 'geometry_correlated' ELSE 'boot_structural' END AS strength FROM c)"""
+
+
+def volume_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Boot sectors as blobs, file records, sizes and known volumes of a source an order."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", k.cast("string").alias("source_id"), (4096 * (1 + k % 3)).alias("base"), F.when(k % 2 == 0, 1).otherwise(2).alias("per"))
+    boot = F.concat(F.lit(b"\xeb\x52\x90NTFS    "), _bytes(F.lit(SECTOR), 2), _bytes(F.col("per"), 1), zeros(26), _bytes(F.lit(SECTORS), 8), _bytes(F.lit(MFT), 8), _bytes(F.lit(MIRROR), 8), F.lit(b"\xf6\0\0\0\xf4\0\0\0"), _bytes(k + 1, 8), zeros(430), F.lit(b"\x55\xaa"))
+    places = F.array_compact(F.array(F.when(k % 5 != 0, F.col("base")), F.when(k % 3 != 0, F.col("base") + (SECTORS - 1) * SECTOR)))
+    boots = o.select("source_id", F.explode(places).alias("offset"), boot.alias("data"))
+    cluster = F.col("per") * SECTOR
+    # the table's record 0 and records 1 and 5 behind it, one out of place, the mirror's record 0, a stale one
+    at = lambda n: F.col("base") + MFT * cluster + n * FILE
+    extents = F.array(F.struct(F.lit(0).cast("long").alias("logical"), F.lit(MFT).cast("long").alias("cluster"), F.floor(8192 / cluster).alias("length")))
+    row = lambda there, offset, record: F.when(there, F.struct(offset.alias("offset"), F.lit(record).cast("long").alias("record")))
+    rows = F.array_compact(F.array(
+        row(k % 7 != 0, at(0), 0), row(F.lit(True), at(1), 1), row(F.lit(True), at(5), 6), row(k % 11 == 0, F.col("base") + MIRROR * cluster, 0), row(F.lit(True), F.col("base") + 30 * SECTOR + FILE * 5, 9),
+    ))
+    r = o.select("source_id", "per", F.explode(rows).alias("r"), extents.alias("extents")).select(
+        "source_id", "r.*", F.lit(1).alias("sequence"), F.lit(True).alias("allocated"), F.when(F.col("r.record") == 0, F.col("extents")).otherwise(F.slice("extents", 1, 0)).alias("extents"), F.lit(None).cast("string").alias("failure")
+    )
+    sizes = o.select("source_id", (F.col("base") + F.when(k % 13 == 0, 20000).otherwise(40000)).alias("size"))
+    known = o.where(k % 17 == 0).select(
+        "source_id", F.col("base").alias("volume_start"), F.lit(SECTOR).alias("sector_size"), cluster.alias("cluster_size"), F.lit(SECTORS).alias("sectors"), F.lit(MFT).alias("mft_cluster"), F.lit(MIRROR).alias("mirror_cluster"),
+        F.lit(FILE).alias("record_size"), F.lit(4096).alias("index_size"), (k + 1).alias("serial"),
+    )
+    return boots, r, sizes, known
+
+
+def found_volumes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..functions import structures
+    from ..operators import volumes
+
+    boots, r, sizes, known = volume_sources(spark, sf_dir)
+    b = boots.select("source_id", "offset", structures.boot_sector(F.col("data")).alias("boot"))
+    return volumes.discovered(b, r, sizes, known), r
+
+
+@query(f"WITH {VOLUMES_SQL} SELECT {NAMED} FROM d")
+def detached_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes that boot sectors propose, in a source an order: with and without their copy, file table and mirror, cut off, known."""
+    return found_volumes(spark, sf_dir)[0].select(*NAMED.split(", "))
+
+
+@query(f"""
+WITH {VOLUMES_SQL},
+r AS (SELECT source_id, base, cluster, base + {MFT} * cluster + n * {FILE} AS "offset", record FROM h, (VALUES (0, 0), (1, 1), (5, 6)) t(n, record) WHERE record > 0 OR table_there
+      UNION ALL SELECT source_id, base, cluster, base + {MIRROR} * cluster, 0 FROM h WHERE mirror_there
+      UNION ALL SELECT source_id, base, cluster, base + 30 * {SECTOR} + {FILE} * 5, 9 FROM h)
+SELECT r.source_id, d.volume_start, r."offset", r.record::BIGINT AS record,
+       CASE WHEN NOT mft_valid OR r."offset" + {FILE} > base + {MFT} * cluster + 8192 OR r."offset" < base + {MFT} * cluster THEN 'detached_stale_file' WHEN r."offset" - base - {MFT} * cluster = record * {FILE} THEN 'detached_logical_mft' ELSE 'detached_misplaced' END AS layer
+FROM r JOIN d ON d.source_id = r.source_id AND classification = 'detached' AND d.volume_start <= r."offset" AND r."offset" < d.volume_end""")
+def detached_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File records of detached volumes: those in their file tables, those in another's place, and stale ones."""
+    from ..operators import volumes
+
+    found, r = found_volumes(spark, sf_dir)
+    return volumes.metadata(found, r, 1 << 20).select("source_id", "volume_start", "offset", "record", "layer")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.journals import Runs
+from ..operators import intervals
 from ..operators.store import materialize
 
 CHUNK = ["logical_start", "data", "physical_start", "gap_before"]
@@ -134,3 +136,11 @@ def fields(schema: str) -> list[str]:
     while "<" in schema:
         schema = re.sub(r"<[^<>]*>", "", schema)
     return [c.split()[0] for c in re.sub(r"\(.*?\)", "", schema).split(",")]
+
+
+def maximal_runs(chunks: DataFrame, keys: list[str], width: int = 1 << 20) -> DataFrame:
+    """The UTF-16 runs of streams (``journals.Runs``) whose bytes do not lie within those of another run."""
+    runs = materialize(carried(chunks, keys, Runs), "runs")
+    spans = runs.select(*keys, F.col("offset").alias("start"), (F.col("offset") + 2 * F.col("characters")).alias("end"))
+    within = intervals.contained(spans, spans, keys, width, "inner").where("p.start <> e.start OR p.end <> e.end")
+    return runs.join(within.select(*(F.col(f"p.{k}").alias(k) for k in keys), F.col("p.start").alias("offset")).distinct(), [*keys, "offset"], "left_anti")
