@@ -75,3 +75,67 @@ def tree(edges: DataFrame, roots: DataFrame, depth: int = 255) -> DataFrame:
         seen = seen.unionByName(front)
     inside = edges.join(seen.select("tree", F.col("page").alias("parent")), "parent").groupBy("tree", F.col("child").alias("page")).agg(F.countDistinct("parent").alias("parents"))
     return seen.join(inside, ["tree", "page"], "left").withColumn("parents", F.coalesce("parents", F.lit(0)))
+
+
+#: States of a chain of pages, the first that holds.
+AMBIGUOUS, CYCLE, SEVERAL_PARENTS, MISSING, WRONG_LENGTH, COMPLETE = "ambiguous_page", "cycle", "multiple_parents", "missing_page", "length_mismatch", "complete"
+
+
+def chains(heads: DataFrame, pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What chains of linked pages hold: a row a head with its state, and the pages in their order.
+
+    ``heads(keys, id, first, length)`` point to first pages, ``pages(keys, page, next, size)`` to the next one, 0 at the end. A page's
+    way back to its head is doubled in every round, so a chain of n pages takes log n joins. Returned are
+    ``(keys, id, first, length, n, size, state)`` and ``(keys, first, page, at)``, ``at`` from 0. States: a page that is there more than once,
+    a chain that comes back to itself, a page that more than one page or head leads to, one that is missing,
+    a sum of sizes that is not the head's length. Of several versions of a page the smallest counts for the way on.
+    """
+    versions = pages.groupBy(*keys, "page").agg(F.min(F.struct("next", "size")).alias("v"), F.count("*").alias("versions"))
+    p = materialize(versions.select(*keys, "page", "v.next", "v.size", "versions"), "pages")
+    into = p.where("next <> 0").select(*keys, F.col("next").alias("page"), F.col("page").alias("parent"))
+    led = into.unionByName(heads.select(*keys, F.col("first").alias("page"), F.lit(None).cast(p.schema["page"].dataType).alias("parent")))
+    parents = led.groupBy(*keys, "page").agg(F.count("*").alias("parents"), F.min("parent").alias("parent"), F.bool_or(F.col("parent").isNull()).alias("head"))
+    way = p.join(parents, [*keys, "page"]).select(*keys, "page", F.when(F.col("head"), F.col("page")).otherwise(F.col("parent")).alias("back"), F.when(F.col("head"), 0).otherwise(1).cast("long").alias("at"), "head")
+    way = materialize(way, "way")
+    # a way of n steps is whole after log2(n) rounds; what has not come to a head by then goes round or began nowhere
+    for _ in range(max(1, way.count()).bit_length()):
+        if way.where("NOT head").isEmpty():
+            break
+        on = way.select(*keys, F.col("page").alias("back"), F.col("back").alias("further"), F.col("at").alias("more"), F.col("head").alias("ended"))
+        step = way.where("NOT head").join(on, [*keys, "back"]).select(*keys, "page", F.col("further").alias("back"), (F.col("at") + F.col("more")).alias("at"), F.col("ended").alias("head"))
+        way = materialize(way.where("head").unionByName(step), "way")
+    placed = materialize(way.where("head").select(*keys, F.col("back").alias("first"), "page", "at"), "placed")
+    d = placed.join(p, [*keys, "page"]).join(parents.select(*keys, "page", "parents"), [*keys, "page"])
+    follow = placed.select(*keys, F.col("page").alias("next"), F.col("first").alias("next_first"))
+    known = p.select(*keys, F.col("page").alias("next"), F.lit(True).alias("there"))
+    many = parents.where("parents > 1").select(*keys, F.col("page").alias("next"), F.lit(True).alias("shared"))
+    last = d.groupBy(*keys, "first").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.max("versions").alias("versions"), F.max(F.when(F.col("page") != F.col("first"), F.col("parents"))).alias("inner_parents"),
+        F.max(F.when(F.col("page") == F.col("first"), F.col("parents"))).alias("first_parents"), F.max_by("next", "at").alias("next"),
+    )
+    last = last.join(follow, [*keys, "next"], "left").join(known, [*keys, "next"], "left").join(many, [*keys, "next"], "left")
+    h = heads.select(*keys, "id", "first", "length").join(last, [*keys, "first"], "left")
+    state = (
+        F.when(F.col("n").isNull(), MISSING).when(F.col("versions") > 1, AMBIGUOUS).when(F.col("next_first") == F.col("first"), CYCLE)
+        .when((F.coalesce("inner_parents", F.lit(1)) > 1) | (F.col("first_parents") > 1) | F.coalesce("shared", F.lit(False)), SEVERAL_PARENTS)
+        .when((F.col("next") != 0), MISSING).when(F.col("size") != F.col("length"), WRONG_LENGTH).otherwise(COMPLETE)
+    )
+    return h.select(*keys, "id", "first", "length", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("size", F.lit(0)).alias("size"), state.alias("state")), placed
+
+
+def members(edges: DataFrame, pages: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+    """tree, page, level, parents and status of every page that ``roots(tree, page)`` reach, as ``tree`` gives them.
+
+    ``pages(page, own_level)`` are the pages there are, with the level that each says it has, leaves 1. Status: missing, ambiguous
+    (more than one page of that name), cycle (a root that is below itself), multiple_parents, level_mismatch (not one less than
+    its parent's), else member.
+    """
+    own = pages.groupBy("page").agg(F.count("*").alias("versions"), F.min("own_level").alias("own_level"))
+    found = tree(edges, roots, depth).join(own, "page", "left")
+    up = edges.join(found.select("tree", F.col("page").alias("parent"), F.col("own_level").alias("above")), "parent").groupBy("tree", F.col("child").alias("page")).agg(F.min("above").alias("above"))
+    found = found.join(up, ["tree", "page"], "left")
+    status = (
+        F.when(F.col("versions").isNull(), "missing").when(F.col("versions") > 1, "ambiguous").when((F.col("level") == 0) & (F.col("parents") > 0), "cycle").when(F.col("parents") > 1, "multiple_parents")
+        .when((F.col("level") > 0) & (F.col("own_level") != F.col("above") - 1), "level_mismatch").otherwise("member")
+    )
+    return found.select("tree", "page", "level", "parents", status.alias("status"))

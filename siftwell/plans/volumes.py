@@ -300,3 +300,35 @@ def detached_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found, r = found_volumes(spark, sf_dir)
     return volumes.metadata(found, r, 1 << 20).select("source_id", "volume_start", "offset", "record", "layer")
+
+
+# --- payloads on linked pages -------------------------------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS page FROM lineitem),
+n AS (SELECT l_orderkey, count(*) AS n, md5(string_agg(printf('%016X', l_partkey), '' ORDER BY page)) AS digest FROM l GROUP BY l_orderkey),
+h AS (SELECT *, 0 AS id FROM n UNION ALL SELECT *, 1 FROM n WHERE l_orderkey % 5 = 4 AND n > 1),
+s AS (SELECT l_orderkey, id, n, digest, CASE WHEN l_orderkey % 5 = 3 AND n > 1 THEN 'ambiguous_page' WHEN l_orderkey % 5 = 2 THEN 'cycle' WHEN l_orderkey % 5 = 4 AND n > 1 THEN 'multiple_parents' WHEN l_orderkey % 5 = 1 THEN 'missing_page'
+             WHEN l_orderkey % 7 = 0 THEN 'length_mismatch' ELSE 'complete' END AS state FROM h)
+SELECT l_orderkey, id, CASE WHEN state = 'multiple_parents' THEN CASE id WHEN 0 THEN 1 ELSE n - 1 END ELSE n END AS pages, state, CASE WHEN state = 'complete' THEN digest END AS digest FROM s""")
+def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as linked pages of a payload: whole ones, a page that is missing, there twice, led to twice, a chain that comes back, a length that is wrong."""
+    from ..operators import graph
+
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    whole, k = Window.partitionBy("l_orderkey"), F.col("l_orderkey")
+    page = F.row_number().over(whole.orderBy("l_partkey", "l_suppkey", "l_linenumber")).cast("long")
+    l = l.select("l_orderkey", "l_partkey", page.alias("page"), F.count("*").over(whole).alias("n"))
+    end = F.when(k % 5 == 1, 99).when(k % 5 == 2, 1).otherwise(0)
+    p = l.select("l_orderkey", "l_partkey", "n", "page", F.when(F.col("page") < F.col("n"), F.col("page") + 1).otherwise(end).cast("long").alias("next"), F.lit(8).cast("long").alias("size"))
+    pages = p.unionByName(p.where((k % 5 == 3) & (F.col("page") == 2)))
+    heads = l.where("page = 1").select("l_orderkey", F.lit(0).alias("id"), F.lit(1).cast("long").alias("first"), (8 * F.col("n") + F.when(k % 7 == 0, 1).otherwise(0)).alias("length"))
+    heads = heads.unionByName(l.where((F.col("page") == 2) & (k % 5 == 4)).select("l_orderkey", F.lit(1).alias("id"), F.lit(2).cast("long").alias("first"), (8 * (F.col("n") - 1)).alias("length")))
+    states, placed = graph.chains(heads, pages.select("l_orderkey", "page", "next", "size"), ["l_orderkey"])
+    # the parts of a payload are bounded by its length
+    good = states.where(F.col("state") == graph.COMPLETE).select("l_orderkey", "id", "first")
+    parts = good.join(placed, ["l_orderkey", "first"]).join(p.select("l_orderkey", "page", F.hex(_bytes(F.col("l_partkey"), 8, True)).alias("h")), ["l_orderkey", "page"])
+    data = parts.groupBy("l_orderkey", "id").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("parts"))
+    digest = F.md5(F.array_join(F.transform("parts", lambda x: x["h"]), "").cast("binary"))
+    return states.join(data.select("l_orderkey", "id", digest.alias("digest")), ["l_orderkey", "id"], "left").select("l_orderkey", "id", F.col("n").alias("pages"), "state", "digest")
