@@ -332,3 +332,36 @@ def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = parts.groupBy("l_orderkey", "id").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("parts"))
     digest = F.md5(F.array_join(F.transform("parts", lambda x: x["h"]), "").cast("binary"))
     return states.join(data.select("l_orderkey", "id", digest.alias("digest")), ["l_orderkey", "id"], "left").select("l_orderkey", "id", F.col("n").alias("pages"), "state", "digest")
+
+
+# --- b-tree pages -------------------------------------------------------------------------------------
+
+LEAF_LINES, FIRST_ITEM, STRIDE = 16, 128, 12
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS rn FROM lineitem),
+p AS (SELECT l_orderkey, rn // {LEAF_LINES} AS page, rn % {LEAF_LINES} AS i, l_partkey, l_suppkey FROM l),
+s AS (SELECT p.*, v, v = 1 AND l_suppkey % 5 = 0 AS big FROM p, (VALUES (0), (1)) t(v))
+SELECT l_orderkey::VARCHAR AS source_id, page * 512 AS "offset", page::BIGINT AS page, (2 * i + v)::INTEGER AS slot, CASE WHEN v = 0 THEN 'key' WHEN big THEN 'overflow' ELSE 'value' END AS kind, v = 0 AND l_partkey % 9 = 0 AS deleted,
+       CASE WHEN big THEN l_partkey * 100 ELSE 8 END AS length, CASE WHEN big THEN l_suppkey END AS first, NULL AS failure FROM s WHERE l_orderkey % 13 <> 0
+UNION ALL SELECT DISTINCT l_orderkey::VARCHAR, page * 512, NULL::BIGINT, NULL::INTEGER, NULL, NULL::BOOLEAN, NULL::BIGINT, NULL::BIGINT, 'slot_bounds_invalid' FROM s WHERE l_orderkey % 13 = 0""")
+def btree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as pairs on leaf pages, big-endian for odd orders: values on the page and on others, deleted keys, slots that lead out of the page."""
+    from ..functions import btrees
+
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")) - 1
+    l = l.withColumn("rn", rn).withColumns({"page": F.floor(F.col("rn") / LEAF_LINES), "i": F.col("rn") % LEAF_LINES, "big": F.col("l_orderkey") % 2 == 1})
+    num = lambda value, n: F.when(F.col("big"), _bytes(value, n, True)).otherwise(_bytes(value, n))
+    key = F.concat(num(F.lit(8), 2), F.when(F.col("l_partkey") % 9 == 0, F.lit(b"\x81")).otherwise(F.lit(b"\x01")), _bytes(F.col("l_partkey"), 8), zeros(1))
+    value = F.when(F.col("l_suppkey") % 5 == 0, F.concat(zeros(2), F.lit(b"\x03\x00"), num(F.col("l_suppkey"), 4), num(F.col("l_partkey") * 100, 4))).otherwise(F.concat(num(F.lit(8), 2), F.lit(b"\x01"), _bytes(F.col("l_suppkey"), 8), zeros(1)))
+    g = l.select("l_orderkey", "page", "big", "i", F.concat(key, value).alias("r")).groupBy("l_orderkey", "page", "big").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"])).alias("body"))
+    n = F.length("body") / STRIDE
+    place = lambda i: F.lit(FIRST_ITEM) + i * STRIDE + F.when((F.col("l_orderkey") % 13 == 0) & (i == 0), 400).otherwise(0)
+    slots = joined(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: num(place(i), 2)))
+    head = F.concat(zeros(8), num(F.col("page"), 4), zeros(8), num(n.cast("int"), 2), num(F.lit(FIRST_ITEM), 2), F.lit(b"\x01\x05"))
+    d = g.select("l_orderkey", "page", "big", "body", head.alias("head"), slots.alias("slots"))
+    data = F.concat("head", "slots", zeros(FIRST_ITEM - 26 - F.length("slots")), "body", zeros(512 - FIRST_ITEM - F.length("body")))
+    blobs = d.select(F.col("l_orderkey").cast("string").alias("source_id"), (F.col("page") * 512).alias("offset"), data.alias("data"), "big")
+    return btrees.btree_items(blobs).select("source_id", "offset", "page", "slot", "kind", "deleted", "length", "first", "failure")
