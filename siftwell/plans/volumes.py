@@ -365,3 +365,29 @@ def btree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat("head", "slots", zeros(FIRST_ITEM - 26 - F.length("slots")), "body", zeros(512 - FIRST_ITEM - F.length("body")))
     blobs = d.select(F.col("l_orderkey").cast("string").alias("source_id"), (F.col("page") * 512).alias("offset"), data.alias("data"), "big")
     return btrees.btree_items(blobs).select("source_id", "offset", "page", "slot", "kind", "deleted", "length", "first", "failure")
+
+
+# --- broken file records ------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey::VARCHAR AS source_id, o_orderkey % 4294967296 AS record, 'f' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') AS name, o_custkey AS parent, 1 AS whole, 'attribute_bounds' AS failure
+FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 <> 0""")
+def partial_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a file record: whole ones, some whose second or first attribute is broken, some with broken sectors. Only the second kind has something that holds."""
+    from ..functions import records
+
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("f"), F.lpad((k % 1000).cast("string"), 3, "0"))
+    size = F.when(k % 3 == 2, 20).otherwise(104)
+    named = F.concat(_bytes(F.lit(0x30), 4), _bytes(size, 4), zeros(8), _bytes(F.lit(74), 4), _bytes(F.lit(24), 2), zeros(2), _bytes(F.col("o_custkey"), 6), _bytes(F.lit(1), 2), zeros(56), F.lit(b"\x04\x01"), utf16(name), zeros(6))
+    data = F.concat(_bytes(F.lit(0x80), 4), _bytes(F.when(k % 3 == 1, 20).otherwise(32), 4), zeros(8), _bytes(F.lit(8), 4), _bytes(F.lit(24), 2), zeros(10))
+    body = F.concat(named, data, F.lit(b"\xff\xff\xff\xff\0\0\0\0"))
+    number = F.lit(b"\x05\x00")
+    end = F.when(k % 5 == 0, F.lit(b"\xee\xee")).otherwise(number)
+    head = F.concat(F.lit(b"FILE\x30\x00\x03\x00"), zeros(8), _bytes(F.lit(1), 2), zeros(2), _bytes(F.lit(56), 2), _bytes(F.lit(1), 2), _bytes(56 + F.length("body"), 4), zeros(16), _bytes(k % (1 << 32), 4), number, zeros(6))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").withColumn("body", body)
+    blob = F.concat(head, F.col("body"), zeros(510 - 56 - F.length("body")), number, zeros(510), end)
+    d = o.select(k.cast("string").alias("source_id"), F.lit(0).cast("long").alias("offset"), blob.alias("data"))
+    r = records.partial_records(d)
+    return r.select("source_id", "record", F.col("aliases")[0]["name"].alias("name"), F.col("aliases")[0]["parent"].alias("parent"), "whole", "failure")
