@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: Fixed by the formats.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -79,6 +80,16 @@ def confirmed(kind: str, found: str) -> str:
     return "public_key" if on_curve(bytes.fromhex(found)) else "invalid"
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def places(gaps: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Where matches begin, from the lengths of the gaps before them and their own; there is a gap more, after the last."""
+    out = []
+    for g, s in zip(gaps, sizes, strict=True):
+        s = np.asarray(s, np.int64)
+        out.append(np.cumsum(np.asarray(g, np.int64)[: len(s)]) + np.cumsum(s) - s)
+    return pd.Series(out, dtype=object)
+
+
 @F.pandas_udf(StringType())
 def _confirmed(kind: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([confirmed(k, x) for k, x in zip(kind, found, strict=True)], dtype=object)
@@ -89,13 +100,12 @@ def find(rows: DataFrame, key: str, text: Column) -> DataFrame:
     def tagged(kind: str) -> Column:
         pattern = SHAPES[kind]
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.octet_length(g))
-        pieces = F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gap")), lambda x: F.struct(x["found"].alias("found"), x["gap"].alias("gap"), F.coalesce(F.octet_length(x["found"]), F.lit(0)).alias("size")))
-        return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), pieces.alias("pieces")))
+        return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gaps")))
 
-    shapes = rows.select(key, F.explode(F.array_compact(F.array(*map(tagged, SHAPES)))).alias("x")).select(key, "x.kind", "x.pieces")
-    each = shapes.select(key, "kind", "pieces", F.posexplode("pieces").alias("i", "x")).where("x.found IS NOT NULL")
-    start = F.aggregate(F.slice("pieces", F.lit(1), F.col("i")), F.lit(0), lambda n, x: n + x["gap"] + x["size"]) + F.col("x.gap")
-    found = each.select(key, "kind", start.alias("start"), (start + F.col("x.size")).alias("end"), F.col("x.found").alias("found"))
+    shapes = rows.select(key, F.explode(F.array_compact(F.array(*map(tagged, SHAPES)))).alias("x")).select(key, "x.*")
+    starts = places("gaps", F.transform("found", lambda x: F.octet_length(x)))
+    each = shapes.select(key, "kind", F.explode(F.arrays_zip("found", starts.alias("start"))).alias("x")).select(key, "kind", "x.*")
+    found = each.select(key, "kind", "start", (F.col("start") + F.octet_length("found")).alias("end"), "found")
     # one address has one fingerprint, whatever its case where case says nothing
     one = F.when(F.col("kind") == "base58", F.col("found")).otherwise(F.lower("found"))
     return found.select(key, "kind", "start", "end", _confirmed("kind", "found").alias("state"), F.sha2(F.concat(F.lit("shape:"), one).cast("binary"), 256).alias("fingerprint"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .addresses import base58check, on_curve
+from .addresses import base58check, on_curve, places
 
 #: Fixed by the formats: the order of the group, the version byte of a private key, and the shape of its text.
 ORDER = 0xFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFEBAAEDCE6AF48A03BBFD25E8CD0364141
@@ -41,12 +41,10 @@ def _wif(found: pd.Series) -> pd.Series:
 def private_keys(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """key, start, end, state and fingerprint of private key shapes; places count characters, and no key leaves the row."""
     pattern = F.lit(WIF)
-    gaps = F.transform(F.split(text, WIF, -1), lambda g: F.length(g))
-    found = rows.where(text.rlike(WIF)).select(key, F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), gaps.alias("gap")).alias("z"))
-    placed = found.select(key, F.posexplode("z").alias("i", "x"), "z").where("x.found IS NOT NULL")
-    before = F.aggregate(F.slice("z", F.lit(1), F.col("i")), F.lit(0), lambda n, x: n + x["gap"] + F.length(x["found"]))
-    start = before + F.col("x.gap")
-    out = placed.select(key, start.alias("start"), (start + F.length("x.found")).alias("end"), _wif("x.found").alias("state"), F.sha2(F.concat(F.lit("private:"), "x.found").cast("binary"), 256).alias("_print"))
+    found = rows.where(text.rlike(WIF)).select(key, F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.transform(F.split(text, WIF, -1), lambda g: F.length(g)).alias("gaps"))
+    starts = places("gaps", F.transform("found", lambda x: F.length(x)))
+    placed = found.select(key, F.explode(F.arrays_zip("found", starts.alias("start"))).alias("x")).select(key, "x.*")
+    out = placed.select(key, "start", (F.col("start") + F.length("found")).alias("end"), _wif("found").alias("state"), F.sha2(F.concat(F.lit("private:"), "found").cast("binary"), 256).alias("_print"))
     return out.select(key, "start", "end", "state", F.when(F.col("state").startswith("VALID"), F.col("_print")).alias("fingerprint"))
 
 
