@@ -350,23 +350,63 @@ def btree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as pairs on leaf pages, big-endian for odd orders: values on the page and on others, deleted keys, slots that lead out of the page."""
     from ..functions import btrees
 
-    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")) - 1
-    l = l.withColumn("rn", rn).withColumns({"page": F.floor(F.col("rn") / LEAF_LINES), "i": F.col("rn") % LEAF_LINES, "big": F.col("l_orderkey") % 2 == 1})
-    num = lambda value, n: F.when(F.col("big"), _bytes(value, n, True)).otherwise(_bytes(value, n))
+    l = leaf_lines(spark, sf_dir)
+    num = in_order
     key = F.concat(num(F.lit(8), 2), F.when(F.col("l_partkey") % 9 == 0, F.lit(b"\x81")).otherwise(F.lit(b"\x01")), _bytes(F.col("l_partkey"), 8), zeros(1))
     value = F.when(F.col("l_suppkey") % 5 == 0, F.concat(zeros(2), F.lit(b"\x03\x00"), num(F.col("l_suppkey"), 4), num(F.col("l_partkey") * 100, 4))).otherwise(F.concat(num(F.lit(8), 2), F.lit(b"\x01"), _bytes(F.col("l_suppkey"), 8), zeros(1)))
-    g = l.select("l_orderkey", "page", "big", "i", F.concat(key, value).alias("r")).groupBy("l_orderkey", "page", "big").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"])).alias("body"))
-    n = F.length("body") / STRIDE
-    place = lambda i: F.lit(FIRST_ITEM) + i * STRIDE + F.when((F.col("l_orderkey") % 13 == 0) & (i == 0), 400).otherwise(0)
-    slots = joined(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: num(place(i), 2)))
-    head = F.concat(zeros(8), num(F.col("page"), 4), zeros(8), num(n.cast("int"), 2), num(F.lit(FIRST_ITEM), 2), F.lit(b"\x01\x05"))
-    d = g.select("l_orderkey", "page", "big", "body", head.alias("head"), slots.alias("slots"))
-    data = F.concat("head", "slots", zeros(FIRST_ITEM - 26 - F.length("slots")), "body", zeros(512 - FIRST_ITEM - F.length("body")))
-    blobs = d.select(F.col("l_orderkey").cast("string").alias("source_id"), (F.col("page") * 512).alias("offset"), data.alias("data"), "big")
+    d = leaf_blobs(l.withColumn("r", F.concat(key, value)), F.when(F.col("l_orderkey") % 13 == 0, 400).otherwise(0))
+    blobs = d.select(F.col("l_orderkey").cast("string").alias("source_id"), (F.col("page") * 512).alias("offset"), "data", "big")
     return btrees.btree_items(blobs).select("source_id", "offset", "page", "slot", "kind", "deleted", "length", "first", "failure")
 
 
+@query(f"""
+WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS rn FROM lineitem),
+p AS (SELECT l_orderkey, l_partkey, l_suppkey, rn // {LEAF_LINES} AS page, rn % {LEAF_LINES} AS i FROM l)
+SELECT l_orderkey || ':' || page AS source_id, l_orderkey % 2 = 1 AS big, page::BIGINT AS page, i::INTEGER AS pair, CASE WHEN l_suppkey % 2 = 0 THEN 'mkey' ELSE 'ckey' END AS record,
+       (5000 + 100 + {FIRST_ITEM} + 2 * {STRIDE} * i + 3)::BIGINT AS key_at FROM p WHERE l_orderkey % 13 <> 0 AND l_partkey % 7 <> 0""")
+def leaves_without_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as records of leaf pages somewhere in a window: marks that begin no page, empty leaves, and hits that name another record."""
+    from ..functions import btrees
+
+    l = leaf_lines(spark, sf_dir)
+    name = F.when(F.col("l_suppkey") % 2 == 0, "mkey").otherwise("ckey")
+    key = F.concat(in_order(F.lit(8), 2), F.lit(b"\x01\x04"), name.cast("binary"), _bytes(F.col("l_partkey"), 3), zeros(1))
+    value = F.concat(in_order(F.lit(8), 2), F.lit(b"\x01"), _bytes(F.col("l_suppkey"), 8), zeros(1))
+    l = l.withColumn("r", F.concat(key, value))
+    at = F.lit(5000 + 100 + FIRST_ITEM + 3).cast("long") + F.col("i") * (2 * STRIDE)
+    hit = F.struct(at.alias("start"), (at + 5).alias("end"), F.when(F.col("l_partkey") % 7 == 0, "key").otherwise(name).alias("name"))
+    hits = l.groupBy("l_orderkey", "page").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    pages = leaf_blobs(l, F.lit(0), F.col("l_orderkey") % 13 == 0).join(hits, ["l_orderkey", "page"])
+    before = F.concat(zeros(60), F.lit(btrees.LEAF_MARK), zeros(38))
+    w = pages.select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("page").cast("string")).alias("source_id"), F.lit(5000).cast("long").alias("offset"), F.concat(before, "data").alias("data"), "hits")
+    return btrees.leaves_without_metadata(w).select("source_id", "big", "page", "pair", "record", "key_at")
+
+
+def in_order(value: Column, n: int) -> Column:
+    """The bytes of a number in the row's byte order."""
+    return F.when(F.col("big"), _bytes(value, n, True)).otherwise(_bytes(value, n))
+
+
+def leaf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the leaf page of their order, their place on it, and the order's byte order."""
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")) - 1
+    return l.withColumn("rn", rn).withColumns({"page": F.floor(F.col("rn") / LEAF_LINES), "i": F.col("rn") % LEAF_LINES, "big": F.col("l_orderkey") % 2 == 1})
+
+
+def leaf_blobs(l: DataFrame, shift: Column, empty: Column | None = None) -> DataFrame:
+    """l_orderkey, page, big and data: pages of 512 bytes with the pairs ``r``; the first slot is moved by ``shift``, ``empty`` pages have no slots."""
+    g = l.groupBy("l_orderkey", "page", "big").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"])).alias("body"))
+    n = (F.length("body") / STRIDE).cast("int")
+    place = lambda i: F.lit(FIRST_ITEM) + i * STRIDE + F.when(i == 0, shift).otherwise(0)
+    slots = joined(F.transform(F.sequence(F.lit(0), n - 1), lambda i: in_order(place(i), 2)))
+    count = n if empty is None else F.when(empty, 0).otherwise(n)
+    head = F.concat(zeros(8), in_order(F.col("page"), 4), zeros(8), in_order(count, 2), in_order(F.lit(FIRST_ITEM), 2), F.lit(b"\x01\x05"))
+    d = g.select("l_orderkey", "page", "big", "body", head.alias("head"), slots.alias("slots"))
+    return d.select("l_orderkey", "page", "big", F.concat("head", "slots", zeros(FIRST_ITEM - 26 - F.length("slots")), "body", zeros(512 - FIRST_ITEM - F.length("body"))).alias("data"))
+
+
+
 # --- broken file records ------------------------------------------------------------------------------
 
 
