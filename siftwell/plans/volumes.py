@@ -431,3 +431,29 @@ def partial_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = o.select(k.cast("string").alias("source_id"), F.lit(0).cast("long").alias("offset"), blob.alias("data"))
     r = records.partial_records(d)
     return r.select("source_id", "record", F.col("aliases")[0]["name"].alias("name"), F.col("aliases")[0]["parent"].alias("parent"), "whole", "failure")
+
+
+# --- wallets as literals ------------------------------------------------------------------------------
+
+
+@query("""
+SELECT c_custkey::VARCHAR AS source_id, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 'refused' WHEN c_custkey % 7 = 0 OR c_custkey % 16 NOT BETWEEN 1 AND 13 THEN 'other' ELSE 'legacy' END AS state,
+       CASE WHEN state = 'legacy' THEN CASE WHEN c_custkey % 5 = 0 THEN 'CP1252' ELSE 'UTF_8' END END AS encoding, CASE WHEN state = 'legacy' THEN CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'FIELD_LEVEL_ENCRYPTED' ELSE 'PLAINTEXT_STRUCTURE' END END AS encryption,
+       CASE WHEN state = 'legacy' THEN c_custkey % 16 END AS seed_version, CASE WHEN state = 'legacy' THEN c_custkey % 3 <> 0 END AS watch_only, CASE WHEN state = 'legacy' THEN 1 + c_nationkey % 3 END AS accounts,
+       CASE WHEN c_custkey % 13 = 0 THEN 'literal_too_deep' WHEN c_custkey % 11 = 0 THEN 'literal_syntax' END AS failure FROM customer""")
+def legacy_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer as an old wallet in a literal: both quotes, long numbers, another encoding, and some that are cut, too deep, of no version or without a key."""
+    from ..functions import literals
+
+    k = F.col("c_custkey")
+    accounts = F.array_join(F.transform(F.sequence(F.lit(0), F.col("c_nationkey") % 3), lambda i: F.concat(i.cast("string"), F.lit(": {'m/0': (1, 2L,)}"))), ", ")
+    key = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("u'master_public_key': '"), F.sha2(k.cast("string").cast("binary"), 512), F.lit("', ")))
+    seed = F.when(k % 3 == 0, F.lit("\"seed\": 'not told', ")).otherwise("")
+    deep = F.when(k % 13 == 0, F.lit("'deep': " + "[" * 80 + "]" * 80 + ", ")).otherwise("")
+    text = F.concat(
+        F.lit("{'seed_version': "), (k % 16).cast("string"), F.lit(", 'use_encryption': "), F.when(k % 2 == 0, "True").otherwise("False"), F.lit(", "), key, seed, deep, F.lit("'accounts': {"), accounts, F.lit("}, 'labels': {'a': '")
+    )
+    label = F.when(k % 5 == 0, F.lit(b"caf\xe9")).otherwise(F.lit(b"plain"))
+    blob = F.concat(text.cast("binary"), label, F.when(k % 11 == 0, F.lit(b"'")).otherwise(F.lit(b"'}}")))
+    found = literals.legacy_wallets(read(spark, sf_dir, "customer").select(k.cast("string").alias("source_id"), F.lit(0).cast("long").alias("offset"), blob.alias("data")))
+    return found.select("source_id", "state", "encoding", "encryption", F.col("seed_version").cast("long").alias("seed_version"), "watch_only", F.col("accounts").cast("long").alias("accounts"), "failure")
