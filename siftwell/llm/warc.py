@@ -73,8 +73,8 @@ def write(pages: DataFrame, path: str) -> None:
 
     Of equal payloads of LEAST_BYTES or more, rows with the smallest page_id are responses (all, should
     the row be repeated) and the others revisit it; rows with a null page_id come last and, where all are
-    null, are all responses. A null html is empty; a null url leaves its header out. An empty table
-    writes no record. Other columns are ignored.
+    null, are all responses. A null html is empty; a null url leaves its header out. A very long payload is written
+    whole, in an archive for its size. An empty table writes no record. Other columns are ignored.
 
     What revisits what is decided on ids and digests alone; where these are too many to be broadcast, pages are
     joined by id and digest, so a payload that very many pages share is no single task.
@@ -156,7 +156,7 @@ def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of all archives below ``path``; each archive's are a run in order."""
+    """Index entries of all archives below ``path``; each archive's are a run in order. A record without a page_id or url has null ones. No archive gives no rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInPandas(_runs, INDEX)
 
@@ -212,7 +212,7 @@ def _merged(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """All captures below ``path`` in order of URL key, timestamp and page_id, across its partitions."""
+    """All captures below ``path`` in order of URL key, timestamp and page_id, across its partitions; repeated ones are all there. No archive gives no rows."""
     runs = materialize(read(spark, path), "runs")
     ranges = -(-runs.count() // RANGE_ROWS) or 1
     return runs.repartitionByRange(ranges, *ORDER).sortWithinPartitions("run", *ORDER).mapInPandas(_merged, INDEX)
