@@ -136,9 +136,12 @@ def events_regular_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a user's events come at regular steps: four fifths within twice the upper median."""
     s = read(spark, sf_dir, "events").select("user_id", F.floor(millis("ts") / 1000).alias("t")).distinct()
     d = s.select("user_id", (F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t"))).alias("delta")).where("delta IS NOT NULL")
-    d = d.groupBy("user_id").agg(F.sort_array(F.collect_list("delta")).alias("deltas")).withColumn("median", F.expr("deltas[CAST(size(deltas) DIV 2 AS INT)]"))
-    regular = F.expr("size(deltas) >= 2 AND size(filter(deltas, x -> x <= 2 * median)) >= 0.8D * size(deltas)")
-    return d.select("user_id", F.size("deltas").cast("long").alias("steps"), "median", regular.alias("regular"))
+    # ranks instead of a list of all steps: a user's rows are sorted and may spill, no row grows with them
+    own = Window.partitionBy("user_id")
+    d = d.withColumns({"at": F.row_number().over(own.orderBy("delta")), "n": F.count("*").over(own)})
+    d = d.withColumn("median", F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("delta"))).over(own))
+    g = d.groupBy("user_id").agg(F.count("*").alias("steps"), F.max("median").alias("median"), F.count_if(F.col("delta") <= 2 * F.col("median")).alias("near"))
+    return g.select("user_id", "steps", "median", ((F.col("steps") >= 2) & (F.col("near") >= 0.8 * F.col("steps"))).alias("regular"))
 
 
 @query("""
