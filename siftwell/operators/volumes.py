@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import file_records
+from ..sources import extents
 from . import intervals
+from .store import materialize
 
 #: What makes two proposals one.
 GEOMETRY = ["volume_start", "sector_size", "cluster_size", "sectors", "mft_cluster", "mirror_cluster", "record_size", "index_size", "serial"]
@@ -93,3 +96,44 @@ def metadata(volumes: DataFrame, records: DataFrame, width: int = 1 << 30) -> Da
     own = F.col("logical") == F.col("record") * F.col("record_size")
     layer = F.when(F.col("logical").isNull(), "detached_stale_file").when(F.coalesce(own, F.lit(False)), "detached_logical_mft").otherwise("detached_misplaced")
     return out.select("source_id", "volume_start", "offset", "record", "sequence", "allocated", F.when(F.col("failure").isNull(), layer).alias("layer"), "failure")
+
+
+TABLE = ["source_id", "volume_start"]
+
+
+def file_table(volumes: DataFrame, first: DataFrame, blocks: DataFrame, size: int, width: int = 1 << 24) -> DataFrame:
+    """source_id, volume_start, number and FILE_RECORDS of every record of the file tables of ``volumes``, read through the extents of their record 0.
+
+    ``volumes(source_id, volume_start, cluster_size, mft_cluster, record_size)``, ``first(source_id, offset, record, extents, failure)`` holds the
+    records 0 among others, ``blocks(source_id, block, data)`` the sources in blocks of ``size`` bytes. A record may lie in several extents. One that can't be
+    read has the reader's reason, one that is no record its own, one that says another number ``record_number_mismatch``. A volume whose record 0 is not there has no rows.
+    """
+    at = F.col("volume_start") + F.col("mft_cluster") * F.col("cluster_size")
+    zero = first.where("record = 0 AND failure IS NULL").select("source_id", F.col("offset").alias("_at"), "extents").dropDuplicates(["source_id", "_at"])
+    v = volumes.select(*TABLE, "cluster_size", "record_size", at.alias("_at")).distinct().join(zero, ["source_id", "_at"])
+    e = v.select(*TABLE, "cluster_size", "record_size", F.explode("extents").alias("x"))
+    scaled = lambda c: F.col(f"x.{c}") * F.col("cluster_size")
+    e = e.select(*TABLE, "record_size", scaled("logical").alias("logical"), (F.col("volume_start") + scaled("cluster")).alias("physical"), scaled("length").alias("length"))
+    e = materialize(e, "table-extents")
+    whole = e.groupBy(*TABLE).agg(F.max(F.col("logical") + F.col("length")).alias("_bytes"), F.first("record_size").alias("record_size"))
+    numbers = whole.where(F.col("_bytes") >= F.col("record_size")).select(*TABLE, "record_size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_bytes") / F.col("record_size")) - 1)).alias("id"))
+    ranges = numbers.select(*TABLE, "id", (F.col("id") * F.col("record_size")).alias("start"), ((F.col("id") + 1) * F.col("record_size")).alias("end"))
+    wanted = extents.pieces(ranges, e, TABLE, width)
+    # the reader's source is source_id; a range is told apart by volume, number and place
+    got = extents.read_blocks(wanted, blocks, ["source_id"], ["volume_start", "id", "logical_start"], size)
+    parts = got.groupBy(*TABLE, "id").agg(F.max("failure").alias("_unread"), F.array_sort(F.collect_list(F.struct("logical_start", F.hex("data").alias("h")))).alias("parts"))
+    data = F.when(F.col("_unread").isNull(), F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), "")))
+    blobs = materialize(parts.select(*TABLE, "id", "_unread", data.alias("data")), "table-records")
+    name = F.concat_ws("\0", "source_id", F.col("volume_start").cast("string"))
+    read = file_records(blobs.select(name.alias("source_id"), F.col("id").alias("offset"), "data"))
+    read = read.withColumnsRenamed({"source_id": "_name", "offset": "id", "failure": "_refused"})
+    out = blobs.select(*TABLE, "id", "_unread").withColumn("_name", name).join(read, ["_name", "id"])
+    failure = F.coalesce("_unread", "_refused", F.when(F.col("record") != F.col("id"), "record_number_mismatch"))
+    return out.withColumn("failure", failure).withColumnRenamed("id", "number").drop("_unread", "_refused", "_name")
+
+
+def safe_prefix(table: DataFrame) -> DataFrame:
+    """source_id, volume_start, records, valid and prefix of each file table: how many records there are, hold, and hold before the first that does not."""
+    bad = F.col("failure").isNotNull()
+    g = table.groupBy(*TABLE).agg(F.count("*").alias("records"), F.count_if(~bad).alias("valid"), F.min(F.when(bad, F.col("number"))).alias("_first"))
+    return g.select(*TABLE, "records", "valid", F.coalesce("_first", "records").alias("prefix"))
