@@ -258,19 +258,41 @@ SELECT c_custkey, s_suppkey, distance FROM r WHERE k = 1""")
 def customer_nearest_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier of a customer's nation with the closest balance, the smaller key of equals.
 
-    Only the next supplier below and above can be closest, so both sides are sorted together and neither
-    is paired with all of the other.
+    Only the next supplier below and above can be closest. A nation's distinct balances are cut into stretches:
+    running extremes go upward and downward within one, and one summary row a stretch tells what lies outside, so
+    neither side is paired with all of the other. Suppliers whose balance is infinite, NaN or null are closest
+    where there are no others, in this order, and to customers without a finite balance all finite ones are equal. Different balances that only
+    the rounding of doubles puts at one distance (beyond some 10^13 with cents) do not count as equal.
     """
-    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("b"), "c_custkey", F.lit(None).cast("long").alias("s_suppkey"))
-    s = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("b")).agg(F.min("s_suppkey").alias("s_suppkey"))
-    both = c.unionByName(s.select("n", "b", F.lit(None).cast("long").alias("c_custkey"), "s_suppkey"))
-    side = F.when(F.col("s_suppkey").isNotNull(), F.struct("b", "s_suppkey"))
-    order = Window.partitionBy("n").orderBy("b", F.col("c_custkey").isNotNull())
-    below = F.last(side, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(side, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.select("c_custkey", "b", below.alias("below"), above.alias("above")).where("c_custkey IS NOT NULL")
-    near = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col("b") - F.col(f"{x}.b")).alias("distance"), F.col(f"{x}.s_suppkey").alias("s_suppkey")))
-    return found.select("c_custkey", F.least(near("below"), near("above")).alias("x")).where("x IS NOT NULL").select("c_custkey", "x.s_suppkey", "x.distance")
+    b, inf, nan = F.col("b"), float("inf"), float("nan")
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("b"), "c_custkey").where("n IS NOT NULL")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("b"), "s_suppkey").where("n IS NOT NULL")
+    both = c.select("n", "b", F.lit(None).cast("long").alias("s_suppkey")).unionByName(s).groupBy("n", "b").agg(F.min("s_suppkey").alias("s_suppkey"))
+    kind = F.when(b.isNull(), 4).when(F.isnan("b"), 3).when(b == inf, 2).when(b == -inf, 1).otherwise(0)
+    both = both.withColumns({"kind": kind, "_stretch": F.when(kind == 0, F.floor(b / 64)).otherwise(0)})
+    side = F.when((F.col("kind") == 0) & F.col("s_suppkey").isNotNull(), F.struct("b", "s_suppkey"))
+    edges = both.groupBy("n", "_stretch").agg(F.max(side).alias("below"), F.min(side).alias("above"), *(F.min(F.when(F.col("kind") == k, F.col("s_suppkey"))).alias(f"k{k}") for k in range(5)))
+    nation, inside = Window.partitionBy("n"), Window.partitionBy("n", "_stretch")
+    before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+    outside = edges.select(
+        F.col("n").alias("_n"), F.col("_stretch").alias("_of"), F.max("below").over(nation.orderBy("_stretch").rowsBetween(*before)).alias("_below"),
+        F.min("above").over(nation.orderBy(F.desc("_stretch")).rowsBetween(*before)).alias("_above"), *(F.min(f"k{k}").over(nation).alias(f"k{k}") for k in range(5)),
+    )
+    both = both.join(outside, (F.col("n") == F.col("_n")) & (F.col("_stretch") == F.col("_of")))
+    below = F.greatest(F.max(side).over(inside.orderBy("b").rowsBetween(*upto)), "_below")
+    # a window whose frame ends at the last row is added up anew for every row, so this one is ordered downward
+    above = F.least(F.min(side).over(inside.orderBy(F.desc("b")).rowsBetween(*upto)), "_above")
+    both = both.withColumns({"below": below, "above": above})
+
+    def near(value: Column, key: Column, there: Column) -> Column:
+        distance = F.abs(b - value)
+        return F.when(there & key.isNotNull(), F.struct(distance.isNull().alias("none"), distance.alias("distance"), key.alias("s_suppkey")))
+
+    finite, always = F.col("kind") == 0, F.lit(True)
+    sides = [near(F.col(f"{x}.b"), F.col(f"{x}.s_suppkey"), finite) for x in ("below", "above")]
+    others = [near(F.lit(x).cast("double"), F.col(f"k{k}"), always if k else ~finite) for k, x in enumerate((0, -inf, inf, nan, None))]
+    found = both.select(F.col("n").alias("_n"), b.alias("_b"), F.least(*sides, *others).alias("x")).where("x IS NOT NULL")
+    return c.join(found, (F.col("n") == F.col("_n")) & b.eqNullSafe(F.col("_b"))).select("c_custkey", "x.s_suppkey", "x.distance")
 
 
 @query("""

@@ -88,3 +88,22 @@ def test_every_part_and_line(spark, tmp_path):
 
     got = catalog.QUERIES["fingerprint_compare_all"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted((*a[:3], named(a)) for a in lines)
+
+
+def test_nearest_supplier_of_odd_balances(spark, tmp_path):
+    """Against the SQL, with nations that lack suppliers, equal balances on both sides, and balances that are none; no frame runs from a row to the end of a nation."""
+    inf, nan = math.inf, math.nan
+    values = [-999.5, -64.0, -0.0, 0.0, 63.99, 64.0, 500.25, 1e12, -1e12, inf, -inf, nan, None]
+    have = {1: [0.0, 128.0, 128.0, -0.0], 2: [], 3: [None, None], 4: [nan, None], 5: [inf, -inf, nan], 6: [7.0, inf, None], None: [1.0], 7: [5000.0, -5000.0], 8: [None, 3.0]}
+    c = [(100 * i + j, n, b) for i, n in enumerate(have) for j, b in enumerate(values)]
+    s = [(900 - 10 * i - j, n, b) for i, (n, bs) in enumerate(have.items()) for j, b in enumerate(bs)]
+    spark.createDataFrame(c, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(s, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = catalog.QUERIES["customer_nearest_supplier"](spark, str(tmp_path)).select("c_custkey", "s_suppkey", "distance")
+    rows = lambda data: sorted(map(str, data))
+    assert rows(map(tuple, df.collect())) == rows(con.execute(catalog.ORACLES["customer_nearest_supplier"]).fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "")
