@@ -87,7 +87,7 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _bytes(F.col("l_orderkey") * 100 + F.col("rn") + 1, 8), zeros(16), _bytes(F.lit(20), 4), _bytes(F.lit(3), 4), _bytes(F.when(F.col("l_partkey") % 13 == 0, 9).otherwise(1), 4),
         _bytes(F.col("l_suppkey"), 4), zeros(8), utf16(name), zeros(RECORD - HEAD - 20),
     )
-    g = l.select("l_orderkey", "page", "rn", record.alias("r")).groupBy("l_orderkey", "page").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("rn", "r"))), lambda x: x["r"])).alias("body"))
+    g = l.select("l_orderkey", "page", "rn", record.alias("r")).groupBy("l_orderkey", "page").agg(joined(F.transform(F.sort_array(F.collect_list(F.struct("rn", "r"))), lambda x: x["r"])).alias("body"))
     number = F.lit(b"\x07\x01")
     end = F.when((F.col("l_orderkey") % 11 == 0) & (F.col("page") == 0), F.lit(b"\xff\xff")).otherwise(number)
     page = F.concat(
@@ -95,7 +95,7 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first = b"RSTR\x28\x00\x02\x00" + bytes(8) + PAGE.to_bytes(4, "little") * 2 + HEAD.to_bytes(2, "little") + bytes(14) + b"\x07\x01" + bytes(6)
     first += bytes(20) + b"\x2c\x00" + bytes(14) + HEAD.to_bytes(2, "little") * 2
-    pages = g.select("l_orderkey", "page", page.alias("r")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("page", "r"))).alias("pages"))
+    pages = g.select("l_orderkey", "page", page.alias("r")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("page", "r"))).alias("pages"))
     blob = F.concat(F.lit(first + bytes(PAGE - 2 - len(first)) + b"\x07\x01"), joined(F.transform("pages", lambda x: x["r"])))
     found = carry.carried(chunked(pages.select("l_orderkey", blob.alias("blob")), "l_orderkey", 200, F.lit(False)), ["l_orderkey"], journals.Log)
     found = found.where("kind IN ('record', 'failure')")

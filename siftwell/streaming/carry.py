@@ -10,10 +10,14 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.journals import Runs
 from ..operators import intervals
@@ -48,23 +52,31 @@ class Stream:
 
     def _taken(self, ended: str | None) -> list[tuple]:
         rows, used = self.parser.take(self.pending, self.start, ended)
+        if not rows and not used:
+            return rows
         rows = [(*r, self._from(*self._span(r))) for r in rows]
         self.pending, self.start = self.pending[used:], self.start + used
         self.segments = [s for s in self.segments if s[1] > self.start]
         return rows
 
     def _span(self, row: tuple) -> tuple[int, int]:
-        names = fields(self.parser.schema)
-        at = row[names.index("offset")]
-        return (at, row[names.index("length")] or 1) if "length" in names else (at, 2 * row[names.index("characters")])
+        offset, length, unit = _places(self.parser.schema)
+        return row[offset], unit * (row[length] or 1)
 
     def _from(self, start: int, length: int) -> list[tuple[int, int, int]]:
-        found = [(max(start, a), min(start + length, b), physical - a) for a, b, physical in self.segments]
-        return [(a, a + shift, b - a) for a, b, shift in found if a < b]
+        end, found = start + length, []
+        for a, b, physical in self.segments:
+            if a < end and start < b:
+                low = a if a > start else start
+                found.append((low, physical + low - a, (b if b < end else end) - low))
+        return found
 
 
-def _number(x) -> int | None:
-    return None if pd.isna(x) else int(x)
+def _values(column: pa.Array) -> list:
+    """What ``to_pylist`` gives, without a scalar for each value where there is a shorter way."""
+    t = column.type
+    short = pa.types.is_integer(t) or pa.types.is_boolean(t) or pa.types.is_binary(t) or pa.types.is_string(t)
+    return column.to_numpy(zero_copy_only=False).tolist() if short and not column.null_count else column.to_pylist()
 
 
 def carried(chunks: DataFrame, keys: list[str], parser: Callable) -> DataFrame:
@@ -87,23 +99,28 @@ def carried(chunks: DataFrame, keys: list[str], parser: Callable) -> DataFrame:
         why = F.when(F.col("_run") < F.max("_run").over(Window.partitionBy(*keys)), "gap").otherwise("end")
         d = d.drop("_why").join(runs.select(*keys, "logical_start", "_run", why.alias("_why")), [*keys, "logical_start"])
         by = [*keys, "_run"]
-    names = [*keys, *fields(parser().schema), "segments"]
+    names = [*by, "_why", *CHUNK]
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, stream, why = (), Stream(parser), "end"
         for batch in batches:
             out = []
-            for row in batch[[*by, "_why", *CHUNK]].itertuples(index=False, name=None):
+            for row in zip(*(_values(batch.column(c)) for c in names), strict=True):
                 line, (start, data, physical, gap) = row[: len(by)], row[len(by) + 1 :]
                 if line != own:
                     out += [(*own[: len(keys)], *r) for r in stream.end(why)]
                     own, stream = line, Stream(parser)
                 why = row[len(by)]
-                out += [(*own[: len(keys)], *r) for r in stream.chunk(int(start), bytes(data or b""), None if pd.isna(physical) else int(physical), gap is True or gap == 1)]
-            yield pd.DataFrame(out, columns=names, dtype=object)
-        yield pd.DataFrame([(*own[: len(keys)], *r) for r in stream.end(why)], columns=names, dtype=object)
+                out += [(*own[: len(keys)], *r) for r in stream.chunk(start, data or b"", physical, bool(gap))]
+            yield table(out)
+        yield table([(*own[: len(keys)], *r) for r in stream.end(why)])
 
-    return d.repartition(*by).sortWithinPartitions(*by, "logical_start").mapInPandas(run, schema)
+    return d.repartition(*by).sortWithinPartitions(*by, "logical_start").mapInArrow(run, schema)
 
 
 def carried_stream(chunks: DataFrame, keys: list[str], parser: Callable) -> DataFrame:
@@ -131,6 +148,13 @@ def _schema(d: DataFrame, keys: list[str], parser: Callable) -> str:
     return f"{own}, {parser().schema}, {SEGMENTS}"
 
 
+@cache
+def _places(schema: str) -> tuple[int, int, int]:
+    """Where in a parser's rows an offset and a length are, and the length's unit in bytes."""
+    names = fields(schema)
+    return (names.index("offset"), names.index("length"), 1) if "length" in names else (names.index("offset"), names.index("characters"), 2)
+
+
 def fields(schema: str) -> list[str]:
     """Names of the fields of a schema text, but for those within others."""
     while "<" in schema:

@@ -106,6 +106,21 @@ def test_names(text, want):
     assert (got[3] if isinstance(got, tuple) else got) == want
 
 
+def test_cost_of_a_log_record(monkeypatch):
+    """The texts of a log record are those of ``Runs`` without its arrays for each record, and the parser's schema is read once, not for each row."""
+    r = random.Random(4)
+    pool = ["wallet.dat", "a", "é", "\u4e00", "\0", "\u200b", " ", "\ud800", "\U0001f600", "]", "\\", "electrum", "x" * 1030, "y" * 1025, "z" * 2049, "    "]
+    for _ in range(300):
+        data = b"".join(x.encode("utf-16-le", "surrogatepass") if r.random() < 0.9 else r.randbytes(r.randrange(5)) for x in r.choices(pool, k=r.randrange(12)))
+        found = {data[a : a + 2 * n].decode("utf-16-le").strip() for a, n, _ in journals.Runs().take(data, 0, "end")[0]} - {""}
+        assert journals.texts(data) == sorted(t for t in found if not any(t != o and t in o for o in found))
+    chunks = cut(LOG, [300], r)
+    want, read, fields = parsed(journals.Log, chunks), [], carry.fields
+    monkeypatch.setattr(carry, "fields", lambda schema: read.append(schema) or fields(schema))
+    monkeypatch.setattr(journals.Runs, "take", None)
+    assert len(want) > 10 and parsed(journals.Log, chunks) == want and len(read) <= 1
+
+
 def test_gaps_cut(spark):
     r = random.Random(3)
     whole = change("one.dat") + change("two.dat") + change("three.dat")
